@@ -26,7 +26,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, vocabulary("word_bpe_49k.json"), limit=2048).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_codec import round_trip
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return round_trip(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_piece_codec": op1_piece_codec,
     "op3_token_counts": op3_token_counts,
 }
 
