@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from . import line_dedup
+from .line_dedup import drop_spread_lines
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +35,16 @@ def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_spread_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
     "op3_token_counts": op3_token_counts,
+    "op9_line_dedup": op9_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_line_dedup": line_dedup.oracle(),
+}
