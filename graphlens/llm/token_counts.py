@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import coded, rows_of, shared_path, split, sums, texts
+from .shared import bounded_batches, coded, rows_of, shared_path, split, sums, texts
 
 #: Distinct words whose counts a Python worker remembers before it starts anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
+#: Texts or words handed to the tokenizer's library in one call.
+AT_ONCE = 2_000
 
 CACHE_SCHEMA = T.StructType([
     T.StructField("content_digest", T.BinaryType()),
@@ -68,7 +70,8 @@ class Counter:
             from tokenizers import Tokenizer
 
             encode = Tokenizer.from_file(path).encode_batch_fast
-            self.lengths = lambda xs: [len(e) for e in encode(xs, add_special_tokens=False)]
+            # the library keeps about a kilobyte for each encoded text: few at a time
+            self.lengths = lambda xs: [len(e) for i in range(0, len(xs), AT_ONCE) for e in encode(xs[i : i + AT_ONCE], add_special_tokens=False)]
         else:
             import sentencepiece
 
@@ -126,6 +129,7 @@ def fill_cache(docs: DataFrame, tokenizer: str, cache: str, text: str = "text")
                 ["content_digest", "tokenizer_digest", "n_tokens"],
             )
 
+    bounded_batches(spark)
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
 
 
