@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import coded, gather, rows_of, split, sums, texts
+from .shared import bounded_batches, coded, gather, rows_of, split, sums, texts
 
 #: Chunks that a Python worker remembers before it starts anew.
 CHUNKS_KEPT = 300_000
@@ -359,6 +359,7 @@ def added(docs: DataFrame, text: str, new: list[T.StructField], make) -> DataFra
             columns = [batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays(columns + work(texts(batch, "__text")), [*kept, *(f.name for f in new)])
 
+    bounded_batches(docs.sparkSession)
     return inner.mapInArrow(run, schema)
 
 
