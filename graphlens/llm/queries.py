@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
+from . import language_id, line_dedup
 from .line_dedup import drop_spread_lines
 from .url_filter import Rule, judge
 
@@ -41,6 +41,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_spread_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
 
 
+def held_out(rows: DataFrame, folds: int, fold: int) -> DataFrame:
+    """rows with held_out: whether crc32 of doc_id as text leaves `fold` when divided by `folds`."""
+    return rows.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False)))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = held_out(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), 3, 1)
+    model = language_id.fit(docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull()))
+    found = language_id.identify(docs.drop("lang"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 #: Fixed values of the query's contract.
 URL_RULES = [Rule("block", "net/"), Rule("allow", "example.net/en/"), Rule("block", "example.com/de/"), Rule("allow", "org/fr/")]
 
@@ -53,10 +65,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
     "op3_token_counts": op3_token_counts,
+    "op6_language_id": op6_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_language_id": op6_language_id,
     "op9_line_dedup": line_dedup.oracle(),
 }
