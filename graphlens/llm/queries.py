@@ -37,6 +37,12 @@ def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, percent=85)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_spread_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
 
@@ -66,11 +72,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
     "op3_token_counts": op3_token_counts,
     "op6_language_id": op6_language_id,
+    "op8_near_dedup": op8_near_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLES: dict[str, str] = {
     "op6_language_id": op6_language_id,
+    "op8_near_dedup": op8_near_dedup,
     "op9_line_dedup": line_dedup.oracle(),
 }
