@@ -13,12 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_batches, coded, rows_of, texts
+from .shared import bounded_batches, coded, rows_of, texts, words_of
 
 #: Log-probability that one change of language costs.
 SWITCH = 8.0
@@ -54,13 +53,6 @@ _NAMES = sorted({s[2] for s in SCRIPTS})
 _CODES = np.asarray([_NAMES.index(s[2]) for s in SCRIPTS])
 
 
-def words_of(array: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Words (runs of letters and marks) in lower case, empty strings among them, by row."""
-    parts = pc.split_pattern_regex(pc.utf8_lower(array), r"[^\p{L}\p{M}]+")
-    offsets = np.asarray(parts.offsets).astype(np.int64)
-    return parts.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
-
-
 class Spelling:
     """Code points of words end to end, each as ^^word$, with the slots of their n-grams."""
 

@@ -23,6 +23,16 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = held_out(table(spark, sf_dir, "labels").select("doc_id", "toxic"), 5, 0)
+    model = toxicity.fit(docs, labels.filter(~F.col("held_out")))
+    found = toxicity.score(held_out(docs, 5, 0), model)
+    return found.select("doc_id", "held_out", "score", "predicted", F.transform("evidence", lambda e: e.doc_id).alias("evidence"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -70,6 +80,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
+    "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op6_language_id": op6_language_id,
     "op8_near_dedup": op8_near_dedup,

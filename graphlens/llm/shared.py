@@ -6,6 +6,7 @@ words are dictionary-encoded, and Python looks only at the distinct words of a b
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step holds at once; a longer text is one step by itself.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +51,15 @@ def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker's peak then is that of one slice."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most `limit` bytes in the text column (one row at least)."""
     for batch in batches:
@@ -63,6 +73,7 @@ def rows_of(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_B
             end = max(at + 1, int(np.searchsorted(size, base + limit, "right")))
             yield batch.slice(at, end - at)
             at = end
+            release()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
@@ -108,3 +119,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
+
+
+def words_of(array: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words (runs of letters and marks) in lower case, empty strings among them, by row."""
+    parts = pc.split_pattern_regex(pc.utf8_lower(array), r"[^\p{L}\p{M}]+")
+    offsets = np.asarray(parts.offsets).astype(np.int64)
+    return parts.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
