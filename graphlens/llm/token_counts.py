@@ -22,9 +22,9 @@ from pyspark.sql import types as T
 from .shared import bounded_batches, coded, rows_of, shared_path, split, sums, texts
 
 #: Distinct words whose counts a Python worker remembers before it starts anew.
-WORDS_KEPT = 250_000
+WORDS_KEPT = 150_000
 #: Texts or words handed to the tokenizer's library in one call.
-AT_ONCE = 2_000
+AT_ONCE = 1_000
 
 CACHE_SCHEMA = T.StructType([
     T.StructField("content_digest", T.BinaryType()),
