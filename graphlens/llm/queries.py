@@ -47,6 +47,15 @@ def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = leaks(docs, table(spark, sf_dir, "benchmark"))
+    items, least = F.transform("leaks", lambda x: x.item_id), F.array_min(F.transform("leaks", lambda x: x.distance))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), items.alias("item_ids"), least.alias("distance"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -83,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op6_language_id": op6_language_id,
+    "op7_decontaminate": op7_decontaminate,
     "op8_near_dedup": op8_near_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
@@ -90,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op6_language_id": op6_language_id,
+    "op7_decontaminate": op7_decontaminate,
     "op8_near_dedup": op8_near_dedup,
     "op9_line_dedup": line_dedup.oracle(),
 }
