@@ -66,6 +66,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_spread_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
 
 
+def op4_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .span_dedup import drop_repeats
+
+    return drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def held_out(rows: DataFrame, folds: int, fold: int) -> DataFrame:
     """rows with held_out: whether crc32 of doc_id as text leaves `fold` when divided by `folds`."""
     return rows.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False)))
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op4_span_dedup": op4_span_dedup,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op8_near_dedup": op8_near_dedup,
@@ -99,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_span_dedup": op4_span_dedup,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op8_near_dedup": op8_near_dedup,
