@@ -23,13 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_batches, coded, mix64, rows_of, split, stored, texts
+from .shared import bounded_batches, buffers, coded, from_buffers, mix64, rows_of, split, stored, texts
 
 BANDS, ROWS = 48, 6
 WIDTH = BANDS * ROWS
@@ -41,6 +40,11 @@ SMALL = 16
 #: Rows up to which a side is broadcast, for keys of a few bytes.
 BROADCAST_ROWS = 200_000
 
+#: Bytes with A-Z in lower case and ASCII white space as spaces.
+PLAIN = np.arange(256, dtype=np.uint8)
+PLAIN[65:91] += 32
+PLAIN[9:14] = 32
+
 SIGNED = T.StructType([
     T.StructField("doc", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("n_shingles", T.LongType()),
     T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType()),
@@ -55,8 +59,8 @@ class Shingler:
 
     def shingles(self, array: pa.Array) -> list[np.ndarray]:
         """Sorted distinct hashes of each text; a text with fewer words has one, without words none."""
-        plain = pc.replace_substring_regex(pc.ascii_lower(array), r"[\t-\r]", " ")
-        values, offsets = split(plain, " ")
+        offsets, data = buffers(array)
+        values, offsets = split(from_buffers(offsets, PLAIN[data]), " ")
         codes, distinct = coded(values)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct), np.uint64, len(distinct))
         full = np.fromiter((bool(w) for w in distinct), bool, len(distinct))

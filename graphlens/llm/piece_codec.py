@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import bounded_batches, coded, gather, rows_of, split, sums, texts
+from .shared import bounded_batches, buffers, coded, gather, rows_of, split, sums, texts
 
 #: Chunks that a Python worker remembers before it starts anew.
 CHUNKS_KEPT = 300_000
@@ -283,10 +283,7 @@ class Codec:
     def plain_spans(self, array: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Spans where normalisation only writes three bytes for a space and puts one in front."""
         n = len(array)
-        source = np.frombuffer(array.buffers()[2] or b"", np.uint8)
-        bounds = np.frombuffer(array.buffers()[1], np.int64, n + 1, array.offset * 8)
-        source = source[bounds[0] : bounds[-1]]
-        bounds = bounds - bounds[0]
+        bounds, source = buffers(array)
         row_sizes = np.diff(bounds)
         spaces = np.flatnonzero(source == 32)
         before = np.searchsorted(spaces, bounds)  # spaces before each row

@@ -77,8 +77,24 @@ def rows_of(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_B
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """The text column with nulls as empty texts, compacted."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """The text column with nulls as empty texts, in buffers of its own.
+
+    Some of Arrow's string functions misread the offsets of a slice.
+    """
+    array = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    offsets, data = buffers(array)
+    return from_buffers(offsets, data.copy())
+
+
+def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets from 0 and bytes of an array of large strings."""
+    offsets = np.frombuffer(array.buffers()[1], np.int64, len(array) + 1, array.offset * 8) if len(array) else np.zeros(1, np.int64)
+    data = np.frombuffer(array.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return offsets - offsets[0], data
+
+
+def from_buffers(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data))
 
 
 def split(array: pa.Array, by: str = " ") -> tuple[pa.Array, np.ndarray]:
