@@ -77,6 +77,13 @@ def held_out(rows: DataFrame, folds: int, fold: int) -> DataFrame:
     return rows.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False)))
 
 
+def op5_hamming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hamming_index import nearest
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = held_out(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), 3, 1)
     model = language_id.fit(docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull()))
@@ -98,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_span_dedup": op4_span_dedup,
+    "op5_hamming_index": op5_hamming_index,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op8_near_dedup": op8_near_dedup,
@@ -107,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_span_dedup": op4_span_dedup,
+    "op5_hamming_index": op5_hamming_index,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op8_near_dedup": op8_near_dedup,
