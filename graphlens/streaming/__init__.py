@@ -1,0 +1 @@
+"""No operator of this engine works on unbounded input; the package holds the place."""
