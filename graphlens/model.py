@@ -12,7 +12,7 @@ OBJECTS = "id bigint, class_id bigint, kind string, elem_type int, length int, s
 CLASSES = "class_id bigint, name string, super_id bigint, loader_id bigint, instance_size int"
 CLASS_FIELDS = "class_id bigint, ordinal int, declaring_class_id bigint, name string, type_code int"
 EDGES = "src bigint, ord int, dst bigint, label string, slot int, kind string"
-GC_ROOTS = "id bigint, root_type int, ord int"
+GC_ROOTS = "id bigint, root_type int, ord bigint"
 FIELD_VALUES = "id bigint, class_id bigint, ordinal int, name string, type_code int, long_val bigint, double_val double, ref_id bigint, string_val string"
 PRIM_ARRAYS = "id bigint, elem_type int, n int, data binary"
 STRINGS = "id bigint, value string"

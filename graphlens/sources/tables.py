@@ -70,7 +70,7 @@ def relational_heap(spark: SparkSession, sf_dir: str) -> GraphHeap:
         for k, (owner, owned, key) in enumerate(OWNS)
     )
     small = rows["Part"].filter(F.col("p_size") <= ROOT_PART_SIZE)
-    roots = union(df.select("id", F.lit(t).alias("root_type"), F.lit(0).alias("ord")) for df, t in ((rows["Region"], 5), (small, 1)))
+    roots = union(df.select("id", F.lit(t).alias("root_type"), F.lit(0).cast("long").alias("ord")) for df, t in ((rows["Region"], 5), (small, 1)))
     described, values = [], {}
     for name, names in FIELDS.items():
         kinds = dict(rows[name].dtypes)
