@@ -10,7 +10,7 @@ at 0.85 with 1e-10.
 Documents with equal shingle sets are one node from the start. Nodes that share band keys are
 compared star-wise: every bucket takes a pivot that all its members of other components are
 compared with; verified links join components; buckets within one component are done. Small
-buckets then compare what is left pair by pair, large ones take twice as many pivots each round.
+buckets then compare what is left pair by pair, large ones take four times as many pivots each round.
 So every pair of a bucket is verified unless it is already connected, and no bucket gathers in a
 task. Pairs whose signatures agree in too few coordinates (8 standard deviations below the
 expectation at the threshold) are not carried to the exact check.
@@ -37,6 +37,8 @@ UNIVERSE = 1 << 20
 SEED = 20240917
 #: Members up to which a bucket compares all that is left pair by pair.
 SMALL = 16
+#: Rows of a round's open buckets that one task handles.
+ROWS_PER_TASK = 20_000
 #: Rows up to which a side is broadcast, for keys of a few bytes.
 BROADCAST_ROWS = 200_000
 
@@ -181,32 +183,28 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "xa", "xb").mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+def joined(labels: DataFrame, links: DataFrame, parts: int) -> DataFrame:
     """labels (node, label) after joining the components that the links (a, b) connect.
 
-    Labels spread over the links between components; each step also follows the label of the
-    label, so a chain of n components takes about log n steps.
+    The graph of components is contracted until no link is left: each component moves to its
+    smallest neighbour's smallest neighbour, and links follow. A star takes two steps, a chain
+    of n components about log n.
     """
     at = lambda x, to: labels.select(F.col("node").alias(x), F.col("label").alias(to))
+    both = lambda e: e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     edges = links.join(at("a", "u"), "a").join(at("b", "v"), "b").filter("u != v").select("u", "v")
-    edges = stored(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "near-edges")
-    if edges.isEmpty():
-        return labels
-    roots = stored(edges.select(F.col("u").alias("c"), F.col("u").alias("root")).distinct(), "near-roots")
-    while True:
-        spread = edges.join(roots.select(F.col("c").alias("v"), "root"), "v").groupBy(F.col("u").alias("c")).agg(F.min("root").alias("near"))
-        low = stored(roots.join(spread, "c").select("c", F.col("root").alias("old"), F.least("root", "near").alias("root")), "near-low")
-        # roots are components too: what they have found counts for all that point to them
-        hooked = low.groupBy(F.col("old").alias("c")).agg(F.min("root").alias("hook"))
-        step = low.join(hooked, "c", "left").select("c", "old", F.least("root", F.coalesce("hook", "root")).alias("root"))
-        step = stored(step, "near-step")
-        jumped = step.join(step.select(F.col("c").alias("root"), F.col("root").alias("jump")), "root").select("c", "old", F.least("root", "jump").alias("root"))
-        jumped = stored(jumped, "near-jump")
-        roots = jumped.select("c", "root")
-        if jumped.filter("old != root").isEmpty():
-            break
-    moved = labels.join(roots.withColumnRenamed("c", "label"), "label", "left")
-    return stored(moved.select("node", F.coalesce("root", "label").alias("label")), "near-labels")
+    edges = stored(both(edges), "near-edges", parts)
+    moved = False
+    while not edges.isEmpty():
+        low = edges.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("to"))
+        step = low.join(low.select(F.col("u").alias("to"), F.col("to").alias("far")), "to").select("u", F.least("to", "far").alias("to"))
+        step = stored(step, "near-steps", parts)
+        labels = labels.join(step.select(F.col("u").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        start, end = (step.select(F.col("u").alias(x), F.col("to").alias(f"{x}2")) for x in ("u", "v"))
+        edges = edges.join(start, "u").join(end, "v").filter("u2 != v2").select(F.col("u2").alias("u"), F.col("v2").alias("v"))
+        edges = stored(edges.distinct(), "near-edges", parts)
+        moved = True
+    return stored(labels, "near-labels", parts) if moved else labels
 
 
 def components(docs: DataFrame, info: DataFrame, text: str, size: int, percent: int) -> DataFrame:
@@ -222,8 +220,11 @@ def components(docs: DataFrame, info: DataFrame, text: str, size: int, percent:
         placed = members.join(labels, "node")
         open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("left")).filter("lo != hi").select("key", "left")
         placed = stored(placed.join(open_keys, "key"), "near-open")
-        if placed.isEmpty():
+        left = placed.count()
+        if not left:
             return labels
+        # what follows is small if little is left: as many tasks as it takes
+        parts = 4 + left // ROWS_PER_TASK
         all_pairs = placed.filter((F.col("left") <= SMALL) & F.lit(pivots > 1))
         ours, theirs = (all_pairs.select("key", F.col("node").alias(n), F.col("label").alias(f"l{n}")) for n in ("a", "b"))
         every = ours.join(theirs, "key").filter("a < b and la != lb").select("a", "b")
@@ -231,18 +232,18 @@ def components(docs: DataFrame, info: DataFrame, text: str, size: int, percent:
         # pivots by one order for all buckets, so that buckets of one group mostly choose the same
         slot = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
         chosen = stars.groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct("node", "label"), F.xxhash64("node")).alias("p")).select("key", "p.node", "p.label")
-        chosen = stored(chosen, "near-pivots")
+        chosen = stored(chosen, "near-pivots", parts)
         star = stars.join(chosen.select("key", F.col("node").alias("p"), F.col("label").alias("lp")), "key").filter("label != lp")
         star = star.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-        pairs = stored(likely(every.union(star).distinct(), inner, percent), "near-pairs")
+        pairs = stored(likely(every.union(star).distinct(), inner, percent), "near-pairs", parts)
         if not pairs.isEmpty():
             if sets is None:
                 sets = stored(sets_of(docs, inner, text, size), "near-sets")
-            labels = joined(labels, stored(linked(pairs, sets, percent), "near-links"))
+            labels = joined(labels, stored(linked(pairs, sets, percent), "near-links", parts), parts)
         # a pivot has met its whole bucket; a small bucket has met itself
         rest = placed.filter((F.col("left") > SMALL) | F.lit(pivots == 1)).select("key", "node")
-        members = stored(rest.join(chosen.select("key", "node"), ["key", "node"], "left_anti"), "near-members")
-        pivots *= 2
+        members = rest.join(chosen.select("key", "node"), ["key", "node"], "left_anti")
+        pivots *= 4
 
 
 def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -37,10 +37,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """Write to the shared folder and read back: cuts the lineage and survives lost executors.
+
+    parts: tasks that write it at most, for tables known to be small.
+    """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if parts is None else df.coalesce(parts)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
