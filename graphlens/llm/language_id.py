@@ -165,6 +165,8 @@ class Identifier:
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word in each language."""
+        if not self.width:
+            return np.zeros((len(words), 0), np.float32)
         m, s = self.model, Spelling(words)
         chars = MIXTURE[3] / SLOTS + MIXTURE[2] * self.single[s.grams[2]]
         for i in (0, 1):

@@ -175,10 +175,12 @@ class Normalizer:
             replaced = replaced.replace(b" ", symbol)
             out += replaced
             source += [start] * len(replaced)
+        end = units[-1][2] if units else len(data)
         if m.squeeze:
             while out.endswith(symbol):
+                end = source[-len(symbol)]
                 del out[-len(symbol) :], source[-len(symbol) :]
-        source.append(units[-1][2] if units else len(data))
+        source.append(end)
         return out.decode("utf-8", "replace"), np.asarray(source, np.int64)
 
 
