@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,12 @@ class Counter:
         return sums(n[codes] if len(codes) else np.zeros(0, np.int64), offsets)
 
 
+@lru_cache(maxsize=2)
+def counter_of(path: str, version: str) -> Counter:
+    """One counter for all tasks of a worker: the library does not give back what each load takes."""
+    return Counter(path)
+
+
 def normal_form(text: Column, path: str) -> Column:
     """What the digest is taken of; equal forms have equal counts."""
     text = F.coalesce(text, F.lit(""))
@@ -121,7 +128,7 @@ def fill_cache(docs: DataFrame, tokenizer: str, cache: str, text: str = "text")
     misses = misses.groupBy("content_digest").agg(F.first("text").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer)
+        counter = counter_of(tokenizer, version)
         for batch in rows_of(batches, "text"):
             n = counter.count(texts(batch))
             yield pa.RecordBatch.from_arrays(
