@@ -1,11 +1,11 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are words and the beginnings of words that occur in toxic examples significantly more
-often. Examples and texts are TF-IDF vectors of these terms; document frequencies are counted
-over all documents. The examples are kept in an inverted index whose postings are cut into
-blocks of examples, with the greatest weight of each term in each block: a block whose upper
-bound lies below the k-th best cosine is not opened, so the nearest examples are exact. Their
-votes, weighted by distance, are calibrated by isotonic regression on left-out examples.
+Terms are all words of the examples and the beginnings of words. Examples and texts are TF-IDF
+vectors of these terms; document frequencies are counted over all documents, and a term that
+occurs in toxic examples significantly more often weighs more, by its significance. Toxic and
+clean examples are kept in an inverted index; the terms that many examples have are a dense
+matrix beside it. The cosine to every example is computed, so the nearest examples are exact.
+Their votes, weighted by distance, are calibrated by isotonic regression on left-out examples.
 """
 
 from __future__ import annotations
@@ -15,23 +15,24 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_batches, coded, rows_of, texts, words_of
+from .shared import bounded_batches, coded, gather, rows_of, texts, words_of
 
 #: Labelled rows of each label that are used as examples, about: chosen by the hash of their id.
 MAX_EXAMPLES = 3_000
-#: Terms of the vocabulary at most, those of highest significance.
-MAX_TERMS = 1_000
-#: Likelihood-ratio statistic (G squared) and number of toxic examples that a term needs.
+#: Likelihood-ratio statistic (G squared) and number of toxic examples from which a term weighs more.
 MIN_G2, MIN_TOXIC = 25.0, 4
 #: Lengths of the beginnings of words that are terms beside the words.
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
+#: Texts whose cosines are computed together.
 BLOCK = 64
-VECTORS_KEPT = 100_000
+#: Terms that more than one of so many examples has are rows of the dense matrix.
+DENSE = 8
 
 
 def term_codes(distinct: list[str]) -> tuple[list[np.ndarray], list[str]]:
@@ -50,43 +51,44 @@ class Model:
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))  # rows of the corpus that an example stands for
-    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # postings of each term
-    examples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # postings of each term that has no dense row
+    examples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     values: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    maxima: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # terms x blocks
-    base: float = 0.0  # share of toxic among examples without a term
+    dense_row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each term, -1: none
+    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # terms with a dense row x examples
+    base: float = 0.0  # share of toxic among examples without a word
     knots: tuple[np.ndarray, np.ndarray] = (np.asarray([0.0, 1.0]), np.asarray([0.0, 1.0]))
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The examples of highest cosine with a unit vector, and the cosines; ties to the first example."""
+        return self.best(self.cosines([(terms, values)])[0], without)
+
+    def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The cosines of unit vectors (terms, values) with all examples."""
         n = len(self.labels)
-        bounds = values @ self.maxima[terms] if len(terms) else np.zeros(0)
-        if not len(bounds) or bounds.max() <= 0:
-            return np.zeros(0, np.int64), np.zeros(0)
-        k = NEIGHBOURS + (without >= 0)
-        first = np.zeros(len(bounds), bool)
-        first[np.argsort(-bounds, kind="stable")[:4]] = True
-        cosine = self.cosines(terms, values, first)
-        kept = np.sort(cosine)[-k:]
-        floor = max(kept[0] if len(kept) == k else 0.0, 1e-12)
-        more = ~first & (bounds >= floor - 1e-9)
-        if more.any():
-            cosine += self.cosines(terms, values, more)
-        if 0 <= without < n:
+        out, common = np.zeros((len(vectors), n)), np.zeros((len(vectors), len(self.dense)))
+        if not n:
+            return out
+        for i, (terms, values) in enumerate(vectors):
+            row = self.dense_row[terms]
+            common[i, row[row >= 0]] = values[row >= 0]
+            terms, values = terms[row < 0], values[row < 0]
+            size = self.starts[terms + 1] - self.starts[terms]
+            at = gather(self.starts[terms], size)
+            out[i] = np.bincount(self.examples[at], self.values[at] * np.repeat(values, size), n)
+        return out + common @ self.dense
+
+    def best(self, cosine: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        if 0 <= without < len(cosine):
             cosine[without] = 0
         found = np.flatnonzero(cosine > 1e-12)
-        best = found[np.lexsort((found, -np.round(cosine[found], 12)))][:NEIGHBOURS]
+        near = np.round(cosine[found], 12)
+        if len(found) > NEIGHBOURS:
+            top = near >= np.partition(near, -NEIGHBOURS)[-NEIGHBOURS]
+            found, near = found[top], near[top]
+        best = found[np.lexsort((found, -near))][:NEIGHBOURS]
         return best, np.minimum(cosine[best], 1.0)
 
-    def cosines(self, terms: np.ndarray, values: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.labels))
-        for t, v in zip(terms.tolist(), values.tolist(), strict=True):
-            a, b = self.starts[t], self.starts[t + 1]
-            at = self.examples[a:b]
-            use = blocks[at // BLOCK]
-            out[at[use]] += v * self.values[a:b][use]
-        return out
-
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
         """Share of toxic votes, weighted by closeness and by the rows that an example stands for."""
         if not len(best):
@@ -183,69 +185,99 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array([*names, "all"], pa.string()), *(pa.array(x, pa.int64()) for x in sums)], ["term", "toxic", "clean"])
 
     counted = rows.mapInArrow(count, schema).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counted = counted.filter((F.col("toxic") >= MIN_TOXIC) | (F.col("term") == "all")).persist()
-    total = counted.filter("term = 'all'").first()
-    if total is None or not total.toxic or not total.clean:
-        counted.unpersist()
+    counted = counted.toArrow()  # the terms of at most about two times `limit` examples
+    counted = counted.take(pc.sort_indices(counted.column("term").combine_chunks()))
+    names = counted.column("term").to_pylist()
+    a, b = (np.asarray(counted.column(c)).astype(np.float64) for c in ("toxic", "clean"))
+    term = np.fromiter((t != "all" for t in names), bool, len(names))
+    n1, n0 = float(a[~term].sum()), float(b[~term].sum())
+    if not n1 or not n0:
         return Model()
-    a, b, n1, n0 = F.col("toxic"), F.col("clean"), float(total.toxic), float(total.clean)
-    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(F.lit(0.0))
-    share = (a + b) / (n1 + n0)
-    g2 = 2 * (part(a, n1 * share) + part(b, n0 * share) + part(n1 - a, n1 * (1 - share)) + part(n0 - b, n0 * (1 - share)))
-    picked = counted.filter("term != 'all'").filter(a / n1 > 3 * b / n0).withColumn("g2", g2).filter(F.col("g2") >= MIN_G2)
-    terms = [r.term for r in picked.orderBy(F.desc(F.round("g2", 6)), "term").limit(MAX_TERMS).collect()]
-    counted.unpersist()
+    terms = [t for t in names if t != "all"]
+    boost = emphasis(a[term], b[term], n1, n0)
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     found = T.StructType([T.StructField("term", T.LongType()), T.StructField("n", T.LongType())])
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, total, rows = Vectors(terms), np.zeros(len(terms), np.int64), 0
+        vectors, rows = Vectors(sent.value), 0
+        total = np.zeros(len(vectors.place), np.int64)
         for batch in rows_of(batches, "text"):
-            total += np.bincount(vectors.counts(texts(batch))[1], minlength=len(terms))
+            total += np.bincount(vectors.counts(texts(batch))[1], minlength=len(total))
             rows += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(terms)), -1], pa.int64()), pa.array([*total.tolist(), rows], pa.int64())], ["term", "n"])
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int64()), pa.array(np.append(total[seen], rows), pa.int64())], ["term", "n"])
 
     in_all = docs.select(F.col(text).alias("text")).mapInArrow(frequency, found).groupBy("term").agg(F.sum("n").alias("n"))
-    df = {r.term: r.n for r in in_all.collect()}
-    idf = np.log((1 + df.get(-1, 0)) / (1 + np.asarray([df.get(i, 0) for i in range(len(terms))]))) + 1
+    in_all = in_all.toArrow()
+    at, n = np.asarray(in_all.column("term")), np.asarray(in_all.column("n"))
+    df = np.zeros(len(terms), np.int64)
+    df[at[at >= 0]] = n[at >= 0]
+    idf = (np.log((1 + n[at < 0].sum()) / (1 + df)) + 1) * boost
 
     vector = T.StructType([
         T.StructField("doc", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("n", T.ArrayType(T.LongType())),
     ])
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = Vectors(terms)
+        vectors = Vectors(sent.value)
         for batch in rows_of(batches, "text"):
             owner, term, n = vectors.counts(texts(batch))
             cut = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(cut, pa.array(x, pa.int64())) for x in (term, n)]
             yield pa.RecordBatch.from_arrays([batch.column("doc").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), *lists], [f.name for f in vector.fields])
 
-    got = rows.mapInArrow(vectorise, vector).collect()  # bounded by limit and MAX_TERMS
-    return build(terms, idf, [(r.doc, r.toxic, np.asarray(r.terms, np.int64), np.asarray(r.n, np.int64)) for r in got], weight)
+    got = rows.mapInArrow(vectorise, vector).toArrow()  # bounded by limit
+    own = []
+    for batch in got.to_batches():
+        cut = np.asarray(batch.column("terms").offsets)
+        term, n = (np.asarray(batch.column(c).values) for c in ("terms", "n"))
+        for doc_id, bad, x, y in zip(batch.column("doc").to_pylist(), batch.column("toxic").to_pylist(), cut[:-1], cut[1:], strict=True):
+            own.append((doc_id, bad, term[x:y], n[x:y]))
+    sent.unpersist()
+    return build(terms, idf, own, weight)
+
+
+def emphasis(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Weight of terms that a of n1 toxic and b of n0 clean examples have: 1, and G squared more where it is significant."""
+
+    def part(x: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / np.maximum(e, 1e-300)), 0.0)
+
+    share = (a + b) / (n1 + n0)
+    g2 = 2 * (part(a, n1 * share) + part(b, n0 * share) + part(n1 - a, n1 * (1 - share)) + part(n0 - b, n0 * (1 - share)))
+    return np.where((a >= MIN_TOXIC) & (a / n1 > 3 * b / n0) & (g2 >= MIN_G2), 1 + g2, 1.0)
 
 
 def build(terms: list[str], idf: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]], weight: dict[int, float]) -> Model:
     """The index of the examples, and the calibration by leaving each out."""
     vectors = Vectors(terms, idf)
-    filled = [(doc, bad, own, vectors.unit(own, n)) for doc, bad, own, n in rows if len(own)]
-    # examples of one leading term lie in the same blocks
-    filled.sort(key=lambda x: (int(x[2][x[3].argmax()]), -float(x[3].max()), x[0]))
-    blank = [weight[bad] * np.asarray((bad, 1.0)) for _, bad, own, _ in rows if not len(own)]
-    base = np.sum(blank, 0) + np.asarray((0.5, 2.0)) if blank else np.asarray((0.5, 2.0))
-    blocks = -(-len(filled) // BLOCK)
-    maxima = np.zeros((len(terms), blocks))
-    postings: list[list[tuple[int, float]]] = [[] for _ in terms]
-    for i, (_, _, own, value) in enumerate(filled):
-        for t, v in zip(own.tolist(), value.tolist(), strict=True):
-            postings[t].append((i, v))
-            maxima[t, i // BLOCK] = max(maxima[t, i // BLOCK], v)
-    flat = [p for own in postings for p in own]
+    filled = sorted(((doc, bad, own, vectors.unit(own, n)) for doc, bad, own, n in rows if len(own)), key=lambda x: (x[0], x[1], x[2].tobytes()))
+    blank = [(weight[bad] * bad, weight[bad]) for _, bad, own, _ in rows if not len(own)]
+    labels, weights = np.asarray([x[1] for x in filled], np.float64), np.asarray([weight[x[1]] for x in filled])
+    # without an example that has no word: the share of toxic among all
+    share = float(weights @ labels / weights.sum()) if filled else 0.25
+    base = np.sum([*blank, (2.0 * share, 2.0)], 0)
+    example = np.repeat(np.arange(len(filled), dtype=np.int32), [len(x[2]) for x in filled])
+    term = np.concatenate([x[2] for x in filled]) if filled else np.zeros(0, np.int64)
+    value = np.concatenate([x[3] for x in filled]) if filled else np.zeros(0)
+    count = np.bincount(term, minlength=len(terms))
+    common = np.flatnonzero(count * DENSE > len(filled))
+    dense_row = np.full(len(terms), -1)
+    dense_row[common] = np.arange(len(common))
+    dense = np.zeros((len(common), len(filled)))
+    row = dense_row[term]
+    dense[row[row >= 0], example[row >= 0]] = value[row >= 0]
+    term, example, value = term[row < 0], example[row < 0], value[row < 0]
+    order = np.argsort(term, kind="stable")
+    starts = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(terms)))))
     model = Model(
-        terms, idf, np.asarray([x[0] for x in filled], np.int64), np.asarray([x[1] for x in filled], np.float64), np.asarray([weight[x[1]] for x in filled]),
-        np.concatenate(([0], np.cumsum([len(p) for p in postings]))).astype(np.int64), np.asarray([p[0] for p in flat], np.int64), np.asarray([p[1] for p in flat]), maxima, float(base[0] / base[1]),
-    )
-    votes = [model.vote(*model.nearest(own, value, i)) for i, (_, _, own, value) in enumerate(filled)]
+        terms, idf, np.asarray([x[0] for x in filled], np.int64), labels, weights, starts.astype(np.int64), example[order], value[order], dense_row, dense, float(base[0] / base[1])
+    )
+    votes = []
+    for at in range(0, len(filled), BLOCK):
+        for i, cosine in enumerate(model.cosines([x[2:] for x in filled[at : at + BLOCK]]), at):
+            votes.append(model.vote(*model.best(cosine, i)))
     x = np.asarray([*votes, model.base])
     y = np.asarray([*model.labels, model.base])
     w = np.asarray([*model.weights, float(base[1])])
@@ -259,38 +291,38 @@ EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.St
 def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """docs with score (0 to 1), predicted (1 from 0.5) and evidence, the nearest examples.
 
-    Null and empty texts and those without a term of the model have no neighbour: they get the
-    share of toxic among examples without a term. Ties among neighbours go to the example that
-    the index has first. Repeated rows and other columns stay; columns named score, predicted,
-    evidence are replaced.
+    Texts whose nearest examples are all clean have no evidence of toxicity: theirs is empty,
+    though these examples make their score. Null and empty texts and those without any word of
+    the examples have no neighbour: they get the share of toxic among examples without a word.
+    Ties among neighbours go to the example that the index has first. Repeated rows and other
+    columns stay; columns named score, predicted, evidence are replaced.
     """
     new = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", EVIDENCE)]
     kept = [c for c in docs.columns if c not in {f.name for f in new}]
     inner = docs.select(*[docs[f"`{c}`"] for c in kept], docs[f"`{text}`"].alias("__text"))
     schema = T.StructType([*docs.select(*[f"`{c}`" for c in kept]).schema.fields, *new])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_EXAMPLES and MAX_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_EXAMPLES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         vectors = Vectors(m.terms, m.idf)
         none = m.calibrated(m.base) if len(m.terms) else 0.0
-        known: dict[bytes, tuple[float, list[dict]]] = {}
         for batch in rows_of(batches, "__text"):
             owner, term, n = vectors.counts(texts(batch, "__text"))
             cut = np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
-            values, every = [], []
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if a == b:
-                    values.append(none), every.append([])
-                    continue
-                key = term[a:b].tobytes() + n[a:b].tobytes()
-                if key not in known:
-                    if len(known) > VECTORS_KEPT:
-                        known.clear()
-                    best, cosine = m.nearest(term[a:b], vectors.unit(term[a:b], n[a:b]))
-                    own = [{"doc_id": int(m.ids[i]), "cosine": float(c), "toxic": int(m.labels[i])} for i, c in zip(best, cosine, strict=True)]
-                    known[key] = (m.calibrated(m.vote(best, cosine)), own)
-                values.append(known[key][0]), every.append(known[key][1])
+            # equal texts of a slice are looked up once
+            keys = [term[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            place = {key: (a, b) for key, a, b in zip(keys, cut[:-1], cut[1:], strict=True) if a < b}
+            known: dict[bytes, tuple[float, list[dict]]] = {b"": (none, [])}
+            every = list(place.items())
+            for at in range(0, len(every), BLOCK):
+                some = every[at : at + BLOCK]
+                found = m.cosines([(term[a:b], vectors.unit(term[a:b], n[a:b])) for _, (a, b) in some])
+                for (key, _), own in zip(some, found, strict=True):
+                    best, cosine = m.best(own)
+                    proof = zip(best, cosine, strict=True) if m.labels[best].any() else ()
+                    known[key] = (m.calibrated(m.vote(best, cosine)), [{"doc_id": int(m.ids[i]), "cosine": float(c), "toxic": int(m.labels[i])} for i, c in proof])
+            values, every = [known[key][0] for key in keys], [known[key][1] for key in keys]
             columns = [batch.column(i) for i in range(len(kept))]
             arrow = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             columns += [pa.array(values, pa.float64()), pa.array([int(v >= 0.5) for v in values], pa.int32()), pa.array(every, arrow)]

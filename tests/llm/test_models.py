@@ -59,6 +59,19 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, known.filter("toxic = 2"))).collect()} == {0.0}
 
 
+def test_toxicity_of_texts_without_a_toxic_term(spark):
+    """A copy of a toxic example whose words are no other's is found by its ordinary words."""
+    rng = random.Random(11)
+    text = lambda: " ".join("".join(rng.choice("bcdfgaeiou") for _ in range(rng.randint(3, 7))) for _ in range(30))
+    rows = [(i, text() + (" zorgish" if i % 4 == 0 else "")) for i in range(200)] + [(900, text()), (901, text())]
+    docs = spark.createDataFrame([*rows, (902, rows[-2][1]), (903, rows[-1][1])], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([*((i, int(i % 4 == 0)) for i in range(200)), (900, 1), (901, 0)], "doc_id long, toxic int"))
+    assert set(model.ids.tolist()) == {*range(200), 900, 901}
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    first = got[902].evidence[0]
+    assert (first.doc_id, first.toxic) == (900, 1) and first.cosine == pytest.approx(1) and got[902].score > got[903].score
+
+
 def test_block_max_is_exact():
     rng = np.random.default_rng(3)
     rows = []
