@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,12 +23,14 @@ from .shared import bounded_batches, coded, rows_of, texts, words_of
 SWITCH = 8.0
 #: Training rows for each language, about: chosen by the hash of their text.
 MAX_ROWS = 1_500
-#: Words with counts that the model keeps, the most frequent of all languages together.
+#: Words with counts that the model keeps of each language, the most frequent; spelling and scripts are learnt from all.
 MAX_WORDS = 80_000
 #: Hash slots of the character models.
 SLOTS = 1 << 16
 #: Words whose scores a Python worker remembers before it starts anew.
 WORDS_KEPT = 250_000
+#: Weights of words are summed as whole numbers of this fraction: the order of the sum does not matter.
+UNIT = 1 << 20
 #: A script belongs to a language if it holds this share of its training letters.
 SCRIPT_SHARE = 0.02
 #: Score of a word in a language that does not use its script.
@@ -106,9 +108,10 @@ def sampled(docs: DataFrame, text: Column, lang: Column, max_rows: int) -> DataF
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Model:
     """Learn from rows with text and language; about max_rows of each language are read.
 
-    Words are counted in the executors; the max_words most frequent come to the driver. Rows
-    with a null in either column are not used; repeated rows count each; without any row the
-    model has no language and identifies nothing.
+    Words are counted in the executors, and so are the characters and scripts of all of them; the
+    max_words most frequent words of each language come to the driver. The languages are those
+    of the labelled rows. Rows with a null in either column are not used; repeated rows count
+    each; without any row the model has no language and identifies nothing.
     """
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 
@@ -126,26 +129,48 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", max_rows: in
                 )
 
     bounded_batches(docs.sparkSession)
-    counted = sampled(docs, docs[f"`{text}`"], docs[f"`{lang}`"], max_rows).mapInArrow(count, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "word", "lang").limit(max_words).collect()
-    languages = sorted({r.lang for r in rows})
+    sample = sampled(docs, docs[f"`{text}`"], docs[f"`{lang}`"], max_rows)
+    counted = sample.mapInArrow(count, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    rows = counted.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= max_words).select("lang", "word", "n").toArrow()
+    parts = T.StructType([T.StructField("lang", T.StringType()), T.StructField("kind", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("n", T.LongType())])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, tags = coded(batch.column("lang"))
+            spelled = Spelling(batch.column("word").to_pylist())
+            # each distinct word counts once and its logarithm more: frequent words do not drown spelling
+            weight = np.round(np.log1p(np.asarray(batch.column("n"))) * UNIT)[spelled.row]
+            scripts = spelled.scripts()
+            for kind, slots in enumerate([*spelled.grams, *spelled.contexts, scripts]):
+                for i, tag in enumerate(tags):
+                    own = (codes[spelled.row] == i) & (slots >= 0)
+                    at, place = np.unique(slots[own], return_inverse=True)
+                    n = np.bincount(place, weight[own], len(at)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([tag] * len(at), pa.string()), pa.array([kind] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(n)], [f.name for f in parts.fields])
+
+    spelt = counted.mapInArrow(spell, parts).groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n")).toArrow()
+    counted.unpersist()
+    languages = sorted(r.lang for r in sample.select("lang").distinct().collect())
     place = {name: i for i, name in enumerate(languages)}
     width = len(languages)
     known: dict[str, np.ndarray] = {}
-    for r in rows:
-        known.setdefault(r.word, np.zeros(width, np.float32))[place[r.lang]] += r.n
-    names = list(known)
-    counts = np.stack([known[w] for w in names]) if names else np.zeros((0, width), np.float32)
-    spelled = Spelling(names)
-    # each distinct word counts once and its logarithm more: frequent words do not drown spelling
-    weight = np.log1p(counts)[spelled.row] if names else counts
-    table = lambda slots: np.stack([np.bincount(slots, weight[:, i], SLOTS) for i in range(width)], 1).astype(np.float32) if width else np.zeros((SLOTS, 0), np.float32)
-    scripts = np.zeros((width, len(_NAMES)))
-    codes = spelled.scripts()
-    for i in range(width):
-        scripts[i] = np.bincount(codes[codes >= 0], weight[codes >= 0, i], len(_NAMES))
-    scripts = scripts / np.maximum(1e-9, scripts.sum(1, keepdims=True)) >= SCRIPT_SHARE
-    return Model(languages, known, counts.sum(0) if width else np.zeros(0), [table(s) for s in spelled.grams], [table(s) for s in spelled.contexts], scripts)
+    totals = np.zeros(width)
+    for tag, word, n in zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+        if word not in known:
+            known[word] = np.zeros(width, np.float32)
+        known[word][place[tag]] += n
+        totals[place[tag]] += n
+    own = np.fromiter((place[x] for x in spelt.column("lang").to_pylist()), np.int64, spelt.num_rows)
+    kind, slot, n = (np.asarray(spelt.column(c)) for c in ("kind", "slot", "n"))
+    tables = []
+    for k, size in enumerate([SLOTS] * 5 + [len(_NAMES)]):
+        tables.append(np.zeros((size, width)))
+        tables[k][slot[kind == k], own[kind == k]] = n[kind == k] / UNIT
+    letters = tables[5].T
+    scripts = letters / np.maximum(1e-9, letters.sum(1, keepdims=True)) >= SCRIPT_SHARE
+    tables = [t.astype(np.float32) for t in tables]
+    return Model(languages, known, totals, tables[:3], tables[3:5], scripts)
 
 
 class Identifier:
@@ -234,7 +259,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", switch: float
     inner = docs.select(*[docs[f"`{c}`"] for c in kept], docs[f"`{text}`"].alias("__text"))
     schema = T.StructType([*docs.select(*[f"`{c}`" for c in kept]).schema.fields, *new])
     session = docs.sparkSession
-    shared = session.sparkContext.broadcast(model)  # bounded by MAX_WORDS and SLOTS
+    shared = session.sparkContext.broadcast(model)  # bounded by languages, MAX_WORDS and SLOTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = Identifier(shared.value, switch)

@@ -28,6 +28,18 @@ def test_languages(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in language_id.identify(odd_docs, nothing).collect()} == {"und"}
 
 
+def test_rare_language_without_spaces(spark):
+    """Words that are all seen once open their language's script, whatever the other languages have."""
+    rng = random.Random(3)
+    clause = lambda: "".join(chr(rng.randint(0x0E01, 0x0E2E)) for _ in range(20))
+    _, rows = languages(random.Random(1), 200)
+    rows += [(1000 + i, f"{clause()} {clause()}", "th") for i in range(5)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_words=40)
+    assert model.languages == ["aa", "bb", "cc", "th"]
+    found = language_id.identify(spark.createDataFrame([(1, clause())], "doc_id long, text string"), model).first()
+    assert (found.lang_pred, found.score) == ("th", 1.0)
+
+
 def test_viterbi_by_brute_force():
     from itertools import product
 
