@@ -1,17 +1,20 @@
 """Removal of repeated passages by hashes of sliding sentence spans.
 
-A document is cut into sentences (at . ! ? before white space, and at line ends; a sentence of
-more than LONG words counts as several). A span is the shortest run of at least MIN_SENTENCES
-sentences with at least MIN_WORDS words: one span starts at every sentence, and one ends at
-every line end. Span hashes are grouped over all documents; of a hash that several documents
-have, the document with the smallest id keeps its span, and in all others, and for every later
-occurrence within a document, the sentences that the span covers are removed.
+A document is cut into units: sentences (at . ! ? before white space, at the ends that other
+scripts write, and at line ends), and the single words of a sentence of more than LONG * 3 / 2
+words, so that a passage is found wherever in such a sentence it begins and ends. In scripts
+without spaces each character is a word of half the size. Spans are the shortest runs of at least
+MIN_SENTENCES units with at least MIN_WORDS words that start at a unit, and those that end at one.
+Span hashes are grouped over all documents; of a hash that several documents have, the document
+with the smallest id keeps its span, and in all others, and for every later occurrence within a
+document, the units that the span covers are removed.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,11 @@ from pyspark.sql import types as T
 from .shared import bounded_batches, rows_of, stored, texts
 
 MIN_SENTENCES, MIN_WORDS, LONG = 2, 20, 12
-_END = re.compile(r"[.!?]+\s+|\n\s*")
-_WORD = re.compile(r"\S+\s*")
+_END = re.compile(r"[.!?]+\s+|[。！？｡]+[”’」』）]*\s*|[।॥።؟۔]+\s*|\n\s*")
+# fixed values: code points of scripts without spaces (Thai to Myanmar, Khmer, CJK), and their signs
+_DENSE = "\u0e00-\u109f\u1780-\u17ff\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_DENSE}][。！？｡，、：；”’」』）]*|[^\s{_DENSE}]+")
+_ONE = re.compile(rf"[{_DENSE}]")
 
 SPANS = T.StructType([
     T.StructField("doc", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()),
@@ -32,51 +38,51 @@ SPANS = T.StructType([
 ])
 
 
-def sentences(text: str) -> tuple[list[int], list[str], list[bool]]:
-    """Where each sentence ends, its words in lower case with single spaces, and whether a line ends there."""
-    ends, words, line = [], [], []
-
-    def add(a: int, b: int, last: bool) -> None:
-        own = text[a:b].lower().split()
-        if len(own) > LONG * 3 // 2:
-            at = a
-            parts = [m.end() for m in _WORD.finditer(text, a + len(text[a:b]) - len(text[a:b].lstrip()), b)]
-            for i in range(LONG, len(own) - LONG // 2, LONG):
-                ends.append(parts[i - 1]), words.append(" ".join(text[at : parts[i - 1]].lower().split())), line.append(False)
-                at = parts[i - 1]
-            own = text[at:b].lower().split()
-        ends.append(b), words.append(" ".join(own)), line.append(last)
+def sentences(text: str) -> tuple[list[int], list[str], list[int], list[int]]:
+    """Where each unit ends, its words in lower case with single spaces, their size in half words, and the unit's sentence."""
+    ends, words, sizes, owner = [], [], [], []
+
+    def add(a: int, b: int, number: int) -> None:
+        part = text[a:b]
+        dense = not part.isascii() and _ONE.search(part)
+        own = _WORD.findall(part) if dense else part.split()
+        size = [1 if _ONE.match(w) else 2 for w in own] if dense else None
+        total = sum(size) if dense else 2 * len(own)
+        if total > 2 * (LONG * 3 // 2):
+            # each word with the white space behind it; the first with that before it
+            ends.extend(a + m.start() for m in islice(_WORD.finditer(part), 1, None))
+            ends.append(b)
+            words.extend(w.lower() for w in own), sizes.extend(size or [2] * len(own)), owner.extend([number] * len(own))
+        else:
+            ends.append(b), words.append(" ".join(own).lower()), sizes.append(total), owner.append(number)
 
-    at = 0
+    at = number = 0
     for m in _END.finditer(text):
-        add(at, m.end(), "\n" in m.group())
-        at = m.end()
+        add(at, m.end(), number)
+        at, number = m.end(), number + 1
     if at < len(text):
-        add(at, len(text), True)
-    elif line:
-        line[-1] = True
-    return ends, words, line
+        add(at, len(text), number)
+    return ends, words, sizes, owner
 
 
-def spans(words: list[str], line: list[bool]) -> list[tuple[int, int]]:
+def spans(sizes: list[int]) -> list[tuple[int, int]]:
     """(first, end) of the spans, in order."""
-    n = len(words)
-    total = np.concatenate(([0], np.cumsum([w.count(" ") + 1 if w else 0 for w in words])))
-    start = np.arange(n)
-    end = np.maximum(np.searchsorted(total, total[:-1] + MIN_WORDS), start + MIN_SENTENCES)
-    found = set(zip(start[end <= n].tolist(), end[end <= n].tolist(), strict=True))
-    ends = np.flatnonzero(line) + 1
-    back = np.minimum(np.searchsorted(total, total[ends] - MIN_WORDS, "right") - 1, ends - MIN_SENTENCES)
-    found.update(zip(back[back >= 0].tolist(), ends[back >= 0].tolist(), strict=True))
-    return sorted(found)
+    n = len(sizes)
+    total = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    start, ends = np.arange(n), np.arange(1, n + 1)
+    end = np.maximum(np.searchsorted(total, total[:-1] + 2 * MIN_WORDS), start + MIN_SENTENCES)
+    back = np.minimum(np.searchsorted(total, total[1:] - 2 * MIN_WORDS, "right") - 1, ends - MIN_SENTENCES)
+    found = np.concatenate((start[end <= n] * (n + 1) + end[end <= n], (back * (n + 1) + ends)[back >= 0]))
+    found = np.unique(found)
+    return list(zip((found // (n + 1)).tolist(), (found % (n + 1)).tolist(), strict=True))
 
 
 def hashed(words: list[str], a: int, b: int) -> int:
-    return xxhash.xxh3_128_intdigest("\n".join(words[a:b]))
+    return xxhash.xxh3_128_intdigest(" ".join(words[a:b]))
 
 
 def drop_repeats(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the sentences that no removed span covers, and n_sentences_dropped.
+    """docs with the units that no removed span covers, and n_sentences_dropped (whole or in part).
 
     Spans are equal if their words are, in lower case; white space does not count. A null text
     stays null, an empty one empty; a text whose sentences all go becomes empty; every row
@@ -94,9 +100,9 @@ def drop_repeats(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") ->
         for batch in rows_of(batches, "text"):
             out: list[list[int]] = [[], [], [], [], []]
             for i, value in enumerate(texts(batch).to_pylist()):
-                _, words, line = sentences(value)
+                _, words, sizes, _ = sentences(value)
                 seen = set()
-                for a, b in spans(words, line):
+                for a, b in spans(sizes):
                     h = hashed(words, a, b)
                     if h not in seen:
                         seen.add(h)
@@ -136,13 +142,13 @@ def without(text: str | None, gone: list[tuple[int, int]]) -> tuple[str | None,
     """The text without the spans (first, n) and without later occurrences of its own spans."""
     if not text:
         return text, 0
-    ends, words, line = sentences(text)
+    ends, words, sizes, owner = sentences(text)
     covered = np.zeros(len(words), bool)
     for first, n in gone:
         covered[first : first + n] = True
     seen: dict[int, tuple[int, int]] = {}
     removed = {(a, a + n) for a, n in gone}
-    for a, b in spans(words, line):
+    for a, b in spans(sizes):
         h = hashed(words, a, b)
         if h in seen:
             # an occurrence that overlaps the first one would take part of what is kept
@@ -153,4 +159,4 @@ def without(text: str | None, gone: list[tuple[int, int]]) -> tuple[str | None,
     if not covered.any():
         return text, 0
     starts = [0, *ends[:-1]]
-    return "".join(text[a:b] for a, b, c in zip(starts, ends, covered.tolist(), strict=True) if not c).rstrip(), int(covered.sum())
+    return "".join(text[a:b] for a, b, c in zip(starts, ends, covered.tolist(), strict=True) if not c).rstrip(), len(set(np.asarray(owner)[covered].tolist()))

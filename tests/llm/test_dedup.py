@@ -99,6 +99,25 @@ def test_spans(spark):
     assert got[100].text == "" and got[None].text == "" and got[101].text is None and got[102].text == ""
 
 
+def test_spans_within_sentences(spark):
+    """A passage is removed whole wherever in a sentence it begins, at its last sentences, and without spaces."""
+    rng = random.Random(9)
+    plain = lambda n: sentence(rng, n)[:-1].lower()
+    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n))
+    inner, ending, chinese = plain(60), " ".join(sentence(rng, n) for n in (15, 10, 5)), f"{han(25)}。{han(70)}。"
+    docs, own = [], {}
+    for i in range(39):
+        before, after = (han(11 + i), han(13)) if i % 3 == 2 else (plain(19 + i), plain(25))
+        own[i] = (before, after)
+        docs.append((i, before + ([f" {inner} ", f".\n{ending} ", f"。{chinese}"][i % 3]) + after))
+    got = {r.doc_id: r for r in span_dedup.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[i].text == docs[i][1] and got[i].n_sentences_dropped == 0 for i in range(3))
+    for i in range(3, 39):
+        before, after = own[i]
+        assert got[i].text == before + [" ", ".\n", "。"][i % 3] + after
+        assert got[i].n_sentences_dropped == [1, 3, 2][i % 3]
+
+
 def test_spans_odd_rows(odd_docs, no_docs):
     rows = span_dedup.drop_repeats(odd_docs)
     assert rows.count() == odd_docs.count() and span_dedup.drop_repeats(no_docs).count() == 0
