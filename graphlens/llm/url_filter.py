@@ -2,9 +2,9 @@
 
 Paths form a tree per host. Level by level, segments that vary become wildcards: segments of
 digits (with an affix that has none, such as `.html`) always, other segments where a node has
-more than MAX_CHILDREN distinct ones. Sibling branches (templates of a host that differ in their
-first segment alone) whose labelled block rates do not differ significantly are merged, and their
-evidence is pooled. A template is rejected if its smoothed share of blocked labelled pages is
+more than MAX_CHILDREN distinct ones. Sibling branches (templates of a host that differ in one segment
+alone, at any level) whose labelled block rates do not differ significantly are merged, deepest
+level first, and their evidence is pooled. A template is rejected if its smoothed share of blocked labelled pages is
 high enough. Labelled pages are those that a rule decides, and those labelled by the caller.
 
 DataFrame functions only. The tree works on distinct (host, path) pairs with counts, which
@@ -24,8 +24,6 @@ from .shared import stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Distinct children of one kind beyond which they are one wildcard.
 MAX_CHILDREN = 32
-#: Levels of the tree; what lies deeper is one wildcard.
-MAX_DEPTH = 4
 #: Pseudo-pages of PRIOR block rate added to each template's evidence.
 STRENGTH, PRIOR = 4.0, 0.5
 #: Smoothed block rate from which a template is rejected.
@@ -69,14 +67,25 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     return text, verdict
 
 
+def _shape(seg: Column) -> tuple[Column, Column]:
+    """seg with its digits as #, and whether it is a number."""
+    shape = F.regexp_replace(seg, "[0-9]+", "#")
+    return shape, shape.rlike(r"^[^#A-Za-z]*#(\.[a-z]+)?$")
+
+
 def templates(paths: DataFrame) -> DataFrame:
     """paths (host, path, ...) with head (first segment's template) and rest (that of the others)."""
     depth = paths.agg(F.max(F.size(F.split("path", "/")) - 1)).first()[0] or 0
-    at = paths.select("*", F.split(F.expr("substring(path, 2)"), "/").alias("segs"), F.lit("").alias("prefix"), F.lit(None).cast("string").alias("head"))
-    for level in range(1, min(depth, MAX_DEPTH) + 1):
+    at = paths.select("*", F.split(F.expr("substring(path, 2)"), "/").alias("segs"), F.lit("").alias("prefix"), F.array().cast("array<string>").alias("parts"))
+    level = 1
+    while level <= max(1, depth):
+        # a node with few paths has nowhere below it more children than that
+        busy = at.filter(F.size("segs") >= level).groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MAX_CHILDREN)
+        if busy.isEmpty():
+            break
         seg = F.get("segs", F.lit(level - 1))
-        numbers = F.regexp_replace(seg, "[0-9]+", "#")
-        at = at.select("*", seg.alias("seg"), numbers.rlike(r"^[^#A-Za-z]*#(\.[a-z]+)?$").alias("number"), numbers.alias("shape"))
+        shape, number = _shape(seg)
+        at = at.select("*", seg.alias("seg"), number.alias("number"), shape.alias("shape"))
         words = at.filter(F.col("seg").isNotNull() & ~F.col("number"))
         wide = (
             words.select("host", "prefix", "seg").distinct().groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("children"))
@@ -86,25 +95,51 @@ def templates(paths: DataFrame) -> DataFrame:
         own = F.when(F.col("number"), F.col("shape")).when(F.col("wide"), "*").otherwise(F.col("seg"))
         at = at.withColumn("own", F.when(F.col("seg").isNotNull(), own))
         at = at.withColumn("prefix", F.concat("prefix", F.when(F.col("own").isNotNull(), F.concat(F.lit("/"), "own")).otherwise("")))
-        at = at.withColumn("head", F.coalesce("own", F.lit(""))) if level == 1 else at
+        at = at.withColumn("parts", F.when(F.col("own").isNotNull(), F.concat("parts", F.array("own"))).otherwise(F.col("parts")))
         at = stored(at.drop("seg", "number", "shape", "salt", "wide", "own"), "url-tree")
-    deep = F.when(F.size("segs") > MAX_DEPTH, "/**").otherwise("")
-    head = F.coalesce("head", F.lit(""))
-    return at.select(*paths.columns, head.alias("head"), F.concat(F.expr("substring(prefix, 2 + length(coalesce(head, '')))"), deep).alias("rest"))
+        level += 1
+    left = F.transform(F.slice("segs", F.lit(level), F.size("segs")), lambda x: F.when(_shape(x)[1], _shape(x)[0]).otherwise(x))
+    at = at.withColumn("parts", F.concat("parts", left))
+    rest = F.concat_ws("/", F.array(F.lit("")), F.slice("parts", F.lit(2), F.size("parts")))
+    return at.select(*paths.columns, F.coalesce(F.get("parts", F.lit(0)), F.lit("")).alias("head"), F.when(F.size("parts") > 1, rest).otherwise("").alias("rest"))
 
 
 def purities(leaves: DataFrame) -> DataFrame:
     """leaves (host, head, rest, blocked, labelled) with merged and purity (smoothed block rate)."""
-    rate = F.col("blocked") / F.col("labelled")
-    order = Window.partitionBy("host", "rest", F.col("labelled") > 0).orderBy("rate", "head")
-    pooled = (F.col("blocked") + F.lag("blocked").over(order)) / (F.col("labelled") + F.lag("labelled").over(order))
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / F.lag("labelled").over(order)))
-    apart = F.abs(F.col("rate") - F.lag("rate").over(order)) > Z * spread
-    ranked = leaves.withColumn("rate", F.when(F.col("labelled") > 0, rate)).withColumn("cut", F.when(apart & (F.col("labelled") > 0), 1).otherwise(0))
-    ranked = ranked.withColumn("branch", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = Window.partitionBy("host", "rest", F.col("labelled") > 0, "branch")
+    leaves = stored(leaves.withColumn("leaf", F.concat("head", "rest")), "url-leaves")
+    at = leaves.select("host", "leaf", (F.col("labelled") > 0).alias("known"), F.split("leaf", "/").alias("parts"), F.posexplode(F.split("leaf", "/")).alias("level", "own"))
+    side = lambda a, n: F.concat_ws("/", F.slice("parts", a, n))
+    at = at.withColumn("place", F.struct(side(F.lit(1), F.col("level")).alias("above"), side(F.col("level") + 2, F.size("parts")).alias("below"), F.size("parts").alias("n")))
+    among = Window.partitionBy("host", "level", "place", "known")
+    siblings = stored(at.withColumn("n", F.count(F.lit(1)).over(among)).filter("n > 1").select("host", "leaf", "level", "place", "own"), "url-siblings")
+    groups = leaves.select("host", "leaf", F.col("leaf").alias("group"), "blocked", "labelled")
+    # as many levels as the deepest path has at most
+    for level in sorted((r.level for r in siblings.select("level").distinct().collect()), reverse=True):
+        whole = Window.partitionBy("host", "group")
+        pooled = groups.select("host", "leaf", "group", F.sum("blocked").over(whole).alias("b"), F.sum("labelled").over(whole).alias("all"))
+        links = siblings.filter(F.col("level") == level).join(pooled, ["host", "leaf"])
+        links = links.withColumn("known", F.col("all") > 0).withColumn("n", F.when(F.col("all") > 0, F.col("all"))).withColumn("rate", F.col("b") / F.col("n"))
+        order = Window.partitionBy("host", "place", "known").orderBy("rate", "own")
+        rate = (F.col("b") + F.lag("b").over(order)) / (F.col("n") + F.lag("n").over(order))
+        spread = F.sqrt(rate * (1 - rate) * (1 / F.col("n") + 1 / F.lag("n").over(order)))
+        links = links.withColumn("cut", F.when(F.abs(F.col("rate") - F.lag("rate").over(order)) > Z * spread, 1).otherwise(0))
+        links = links.withColumn("branch", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        links = stored(links.select("host", "group", "place", "known", "branch", F.col("group").alias("label")), "url-links")
+        # groups that a branch holds together become one, and so on until nothing changes
+        while True:
+            one = links.withColumn("least", F.min("label").over(Window.partitionBy("host", "place", "known", "branch")))
+            one = stored(one.withColumn("least", F.min("least").over(whole)), "url-links")
+            changed = not one.filter("least != label").isEmpty()
+            links = one.drop("label").withColumnRenamed("least", "label")
+            if not changed:
+                break
+        new = links.select("host", "group", "label").distinct()
+        groups = groups.join(new, ["host", "group"], "left").select("host", "leaf", F.coalesce("label", "group").alias("group"), "blocked", "labelled")
+        groups = stored(groups, "url-groups")
+    merged = Window.partitionBy("host", "group")
     block, every = F.sum("blocked").over(merged), F.sum("labelled").over(merged)
-    return ranked.select("host", "head", "rest", ((block + STRENGTH * PRIOR) / (every + STRENGTH)).alias("purity"))
+    purity = groups.select("host", "leaf", ((block + STRENGTH * PRIOR) / (every + STRENGTH)).alias("purity"))
+    return leaves.join(purity, ["host", "leaf"]).select("host", "head", "rest", "purity")
 
 
 def judge(pages: DataFrame, rules: list[Rule], *, url: str = "url", labels: DataFrame | None = None) -> DataFrame:

@@ -201,3 +201,15 @@ def test_url_templates(spark):
     leaves = spark.createDataFrame([("h", "a", "/#", 9, 10), ("h", "b", "/#", 18, 20), ("h", "c", "/#", 0, 20), ("h", "d", "/#", 0, 0)], "host string, head string, rest string, blocked long, labelled long")
     purity = {r.head: r.purity for r in url_filter.purities(leaves).collect()}
     assert purity["a"] == purity["b"] == pytest.approx(29 / 34) and purity["c"] == pytest.approx(2 / 24) and purity["d"] == 0.5
+
+
+def test_url_templates_of_deep_paths(spark):
+    """Branches below the fourth level are told apart, and like siblings below the first are pooled."""
+    urls = [f"http://h.com/a/b/c/d/{x}/{i}" for x in ("spam", "good") for i in range(40)] + ["http://h.com/" + "x/" * 60]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    marks = [("h.com", f"/a/b/c/d/{x}/{i}", x == "spam") for x in ("spam", "good") for i in range(30)]
+    rows = url_filter.judge(pages, RULES, labels=spark.createDataFrame(marks, "host string, path string, blocked boolean")).collect()
+    assert {(r.template, r.verdict) for r in rows[:]} == {("/a/b/c/d/spam/#", "block"), ("/a/b/c/d/good/#", "allow"), ("/" + "x/" * 60, "allow")}
+    leaves = [("h", "a", "/b/x/#", 9, 10), ("h", "a", "/b/y/#", 18, 20), ("h", "a", "/b/z/#", 0, 20), ("h", "a", "/c/x", 1, 1)]
+    found = url_filter.purities(spark.createDataFrame(leaves, "host string, head string, rest string, blocked long, labelled long")).collect()
+    assert {r.rest: round(r.purity, 9) for r in found} == {"/b/x/#": round(29 / 34, 9), "/b/y/#": round(29 / 34, 9), "/b/z/#": round(2 / 24, 9), "/c/x": 0.6}
