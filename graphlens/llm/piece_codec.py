@@ -16,8 +16,10 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array as numbers
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 from .shared import bounded_batches, buffers, coded, gather, rows_of, split, sums, texts
 
 #: Chunks that a Python worker remembers before it starts anew.
-CHUNKS_KEPT = 300_000
+CHUNKS_KEPT = 150_000
 SPACE = "▁"
 
 
@@ -190,10 +192,9 @@ class Codec:
     def __init__(self, path: str):
         import sentencepiece
 
-        self.model = Model(path)
+        self.path, self.model = path, Model(path)
         self.normalizer = Normalizer(self.model)
         self.engine = sentencepiece.SentencePieceProcessor(model_proto=self.model.bare())
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         surfaces, sizes = [], []
         for p in self.model.pieces:
             raw = bytes([int(p.text[3:5], 16)]) if p.kind == 6 else p.text.encode()
@@ -211,11 +212,16 @@ class Codec:
         self.strips = self.model.dummy or self.model.squeeze
         self.forget()
 
+    @cached_property
+    def library(self):
+        """The library with the model as it is: only for texts that do not decode piece by piece."""
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=self.path)
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids: list[int] = []
-        self.starts: list[int] = []
-        self.lengths: list[int] = []
+        self.ids, self.starts, self.lengths = numbers("i"), numbers("q"), numbers("q")
 
     def learn(self, chunks: list[str]) -> None:
         missing = [c for c in dict.fromkeys(chunks) if c not in self.known]
@@ -223,7 +229,7 @@ class Codec:
             self.known[chunk] = len(self.starts)
             self.starts.append(len(self.ids))
             self.lengths.append(len(ids))
-            self.ids += ids
+            self.ids.extend(ids)
 
     def chunks(self, array: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
         """Codes of the chunks, the distinct chunks, and where each row's chunks are."""
@@ -258,9 +264,9 @@ class Codec:
             codes, distinct, offsets = self.chunks(array)
             self.learn(distinct)
             at = np.fromiter((self.known[c] for c in distinct), np.int64, len(distinct))
-            lengths = np.asarray(self.lengths, np.int64)[at][codes] if len(codes) else np.zeros(0, np.int64)
-            starts = np.asarray(self.starts, np.int64)[at][codes] if len(codes) else np.zeros(0, np.int64)
-            ids = np.asarray(self.ids, np.int64)[gather(starts, lengths)]
+            # copies, so that the arrays can grow again
+            lengths, starts = (np.array(x, np.int64)[at][codes] if len(codes) else np.zeros(0, np.int64) for x in (self.lengths, self.starts))
+            ids = np.array(self.ids, np.int32)[gather(starts, lengths)].astype(np.int64)
             offsets = np.concatenate(([0], np.cumsum(sums(lengths, offsets))))
             return ids, *self.plain_spans(array, ids, offsets), offsets
         every, begins, ends, counts = [], [], [], []
@@ -338,6 +344,12 @@ class Codec:
         return [data[at[i] : max(at[i], at[i + 1] - 1)] for i in range(len(offsets) - 1)]
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str) -> Codec:
+    """One codec for all tasks of a worker: the library does not give back all that a load takes."""
+    return Codec(path)
+
+
 ENCODED = [
     T.StructField("ids", T.ArrayType(T.IntegerType())),
     T.StructField("starts", T.ArrayType(T.IntegerType())),
@@ -373,7 +385,7 @@ def encode(docs: DataFrame, model: str, *, text: str = "text") -> DataFrame:
     """
 
     def make():
-        codec = Codec(model)
+        codec = codec_of(model)
 
         def work(array: pa.Array) -> list[pa.Array]:
             ids, starts, ends, offsets = codec.encode(array)
@@ -391,7 +403,7 @@ def decode(rows: DataFrame, model: str, *, ids: str = "ids", out: str = "decoded
     schema = T.StructType([*rows.select(*[f"`{c}`" for c in kept]).schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = codec_of(model)
         for batch in batches:
             lists = batch.column(kept.index(ids)).to_pylist()
             flat = np.asarray([i for own in lists for i in own or ()], np.int64)
@@ -420,7 +432,7 @@ def round_trip(docs: DataFrame, model: str, *, text: str = "text", with_text: bo
     new = DIGESTS if with_text else DIGESTS[:-1]
 
     def make():
-        codec = Codec(model)
+        codec = codec_of(model)
 
         def work(array: pa.Array) -> list[pa.Array]:
             ids, starts, ends, offsets = codec.encode(array)

@@ -44,14 +44,27 @@ def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """
     path = shared_path(df.sparkSession, name)
     (df if parts is None else df.coalesce(parts)).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """Let Spark hand at most so many rows at once to a Python worker: long texts make large batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more: all that was made of them is stored itself."""
+    for df in tables:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2_000, size: int = 2 * SLICE_BYTES) -> None:
+    """Let Spark hand at most so many rows and bytes at once to a Python worker (one row at least).
+
+    The bounds are settings of the session, read when a plan runs; smaller ones stay.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(str(spark.conf.get(key)).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def release() -> None:
