@@ -9,11 +9,19 @@ at 0.85 with 1e-10.
 
 Documents with equal shingle sets are one node from the start. Nodes that share band keys are
 compared star-wise: every bucket takes a pivot that all its members of other components are
-compared with; verified links join components; buckets within one component are done. Small
-buckets then compare what is left pair by pair, large ones take four times as many pivots each round.
-So every pair of a bucket is verified unless it is already connected, and no bucket gathers in a
-task. Pairs whose signatures agree in too few coordinates (8 standard deviations below the
-expectation at the threshold) are not carried to the exact check.
+compared with, verified links join components, and buckets within one component are done. Of
+what is left, buckets of at most SMALL members compare all of them. The nodes of larger ones
+are joined by exact prefixes instead: shingles are ordered by how many of these nodes have them,
+rarest first, and two sets can reach the similarity only if they share a shingle among the first
+of each, as many as their sizes leave room for. Copies of one template that are no near copies
+differ in their rare shingles and so do not meet again; what meets are real candidates, again
+star-wise, with four times as many pivots each round. No pair is verified twice, every pair of
+a bucket is verified unless it is already connected, and no bucket gathers in a task.
+
+Pairs whose signatures agree in too few coordinates (8 standard deviations below the expectation
+at the threshold) are not carried to the exact check; the estimator's variance with circulant
+permutations is below that of independent ones. In sets near UNIVERSE shingles coordinates agree
+too often, which adds candidates and loses none.
 """
 
 from __future__ import annotations
@@ -24,11 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_batches, buffers, coded, from_buffers, mix64, rows_of, split, stored, texts
+from .shared import bounded_batches, buffers, coded, discard, from_buffers, mix64, rows_of, split, stored, texts
 
 BANDS, ROWS = 48, 6
 WIDTH = BANDS * ROWS
@@ -37,7 +45,7 @@ UNIVERSE = 1 << 20
 SEED = 20240917
 #: Members up to which a bucket compares all that is left pair by pair.
 SMALL = 16
-#: Rows of a round's open buckets that one task handles.
+#: Rows of a round that one task handles.
 ROWS_PER_TASK = 20_000
 #: Rows up to which a side is broadcast, for keys of a few bytes.
 BROADCAST_ROWS = 200_000
@@ -48,11 +56,15 @@ PLAIN[65:91] += 32
 PLAIN[9:14] = 32
 
 SIGNED = T.StructType([
-    T.StructField("doc", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("n_shingles", T.LongType()),
+    T.StructField("doc", T.LongType()), T.StructField("text_key", T.BinaryType()), T.StructField("n_shingles", T.LongType()),
     T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType()),
 ])
 
 
+def text_key(text: str) -> Column:
+    return F.unhex(F.md5(text)).alias("text_key")
+
+
 class Shingler:
     """Distinct word shingles of texts as 64-bit hashes."""
 
@@ -125,7 +137,7 @@ def signed(docs: DataFrame, doc: str, text: str, size: int) -> DataFrame:
             )
 
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc).cast("long").alias("doc"), text_key(text), F.col(text).alias("text"))
     return rows.mapInArrow(run, SIGNED)
 
 
@@ -133,7 +145,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, text: str, size: int) -> DataFram
     """(node, shingles) of nodes (node, text_key), from one text of each."""
     want = nodes.select("node", F.col("text_key"))
     small = want.count() <= BROADCAST_ROWS
-    rows = docs.select(F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    rows = docs.select(text_key(text), F.col(text).alias("text"))
     rows = rows.join(F.broadcast(want) if small else want, "text_key")
     schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 
@@ -194,56 +206,150 @@ def joined(labels: DataFrame, links: DataFrame, parts: int) -> DataFrame:
     both = lambda e: e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     edges = links.join(at("a", "u"), "a").join(at("b", "v"), "b").filter("u != v").select("u", "v")
     edges = stored(both(edges), "near-edges", parts)
-    moved = False
+    old = []
     while not edges.isEmpty():
         low = edges.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("to"))
         step = low.join(low.select(F.col("u").alias("to"), F.col("to").alias("far")), "to").select("u", F.least("to", "far").alias("to"))
         step = stored(step, "near-steps", parts)
         labels = labels.join(step.select(F.col("u").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         start, end = (step.select(F.col("u").alias(x), F.col("to").alias(f"{x}2")) for x in ("u", "v"))
+        old += [edges, step]
         edges = edges.join(start, "u").join(end, "v").filter("u2 != v2").select(F.col("u2").alias("u"), F.col("v2").alias("v"))
         edges = stored(edges.distinct(), "near-edges", parts)
-        moved = True
-    return stored(labels, "near-labels", parts) if moved else labels
-
-
-def components(docs: DataFrame, info: DataFrame, text: str, size: int, percent: int) -> DataFrame:
-    """(node, label) of the nodes that share a band with another; label: the component's smallest node."""
-    banded = info.select("node", F.explode("bands").alias("key"))
-    full = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = stored(banded.join(full, "key"), "near-members")
-    nodes = members.select("node").distinct()
-    inner = stored(info.join(nodes, "node", "left_semi").select("node", "n_shingles", "sig", "text_key"), "near-nodes")
-    labels = inner.select("node", F.col("node").alias("label"))
-    pivots, sets = 1, None
-    while True:
-        placed = members.join(labels, "node")
-        open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("left")).filter("lo != hi").select("key", "left")
-        placed = stored(placed.join(open_keys, "key"), "near-open")
-        left = placed.count()
+    if old:
+        labels = stored(labels, "near-labels", parts)
+    discard(edges, *old)
+    return labels
+
+
+def tasks(rows: int) -> int:
+    return 4 + rows // ROWS_PER_TASK
+
+
+def prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, reach): the shingles by which nodes (node, n) can meet a near copy among them.
+
+    reach is the size of the largest partner that the shingle can be needed for: o shared of n and
+    m shingles are similar enough if (100 + percent) * o >= percent * (n + m), and then the first
+    shared one has at least o - 1 behind it in either order.
+    """
+    tokens = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("key", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
+            at = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            keys = np.concatenate([np.zeros(0, np.int64), *own])
+            for i in range(0, len(at), 100_000):
+                some = pa.array(at[i : i + 100_000])
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(some), batch.column("n").take(some), pa.array(keys[i : i + 100_000])], ["node", "n", "key"])
+
+    rows = stored(sets.join(nodes, "node").select("node", "n", "shingles").mapInArrow(run, tokens), "near-shingles")
+    common = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rarity")).filter("rarity > 1")
+    # a shingle of one node alone comes first and meets nothing
+    ranked = rows.join(common, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("rarity", "key"))).alias("keys"))
+    first = F.col("n") - F.size("keys")
+    reach = lambda i: F.floor((F.col("n") - first - i) * (100 + percent) / percent).cast("long") - F.col("n")
+    found = F.transform("keys", lambda k, i: F.struct(k.key.alias("key"), reach(i).alias("reach")))
+    found = F.filter(found, lambda x: 100 * x.reach >= percent * F.col("n"))
+    out = stored(ranked.select("node", "n", F.explode(found).alias("x")).select("x.key", "node", "n", "x.reach"), "near-prefixes")
+    discard(rows)
+    return out
+
+
+class Components:
+    """Components of the nodes that share a band with another, joined round by round."""
+
+    def __init__(self, docs: DataFrame, info: DataFrame, text: str, size: int, percent: int):
+        self.docs, self.text, self.size, self.percent = docs, text, size, percent
+        banded = info.select("node", F.col("n_shingles").alias("n"), F.floor(F.col("n_shingles") * 100 / percent).alias("reach"), F.explode("bands").alias("key"))
+        full = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key")
+        self.members = stored(banded.join(full, "key").select("key", "node", "n", "reach"), "near-members")
+        nodes = self.members.select("node").distinct()
+        self.inner = stored(info.join(nodes, "node", "left_semi").select("node", "n_shingles", "sig", "text_key"), "near-nodes")
+        self.labels = self.inner.select("node", F.col("node").alias("label"))
+        self.verified: list[DataFrame] = []
+        self._sets: DataFrame | None = None
+
+    @property
+    def sets(self) -> DataFrame:
+        if self._sets is None:
+            self._sets = stored(sets_of(self.docs, self.inner, self.text, self.size), "near-sets")
+        return self._sets
+
+    def opened(self, members: DataFrame) -> tuple[DataFrame, int]:
+        """members with label and left, of the buckets that hold several components; and their number."""
+        placed = members.join(self.labels, "node")
+        keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("left")).filter("lo != hi").select("key", "left")
+        out = stored(placed.join(keys, "key"), "near-open")
+        return out, out.count()
+
+    def pairs(self, ours: DataFrame, theirs: DataFrame, once: bool) -> DataFrame:
+        """(a, b) of rows with one key, in different components, that their sizes allow."""
+        side = lambda x, i: x.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("node", "n", "reach", "label")))
+        both = side(ours, 1).join(side(theirs, 2), "key").filter("label1 != label2 and n1 <= reach2 and n2 <= reach1")
+        both = both.filter("node1 < node2") if once else both
+        return both.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
+
+    def verify(self, pairs: DataFrame, rows: int) -> None:
+        """Join the components of the pairs (about so many rows) that are near copies."""
+        pairs = pairs.distinct()
+        for known in self.verified:
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "near-pairs", tasks(rows))
+        parts = tasks(pairs.count())
+        near = stored(likely(pairs, self.inner, self.percent), "near-likely", parts)
+        n = near.count()
+        if n:
+            links = stored(linked(near, self.sets, self.percent), "near-links", tasks(n))
+            before, self.labels = self.labels, joined(self.labels, links, tasks(n))
+            discard(links, *([before] if before is not self.labels and hasattr(before, "stored_at") else []))
+        discard(near)
+        self.verified.append(pairs)
+
+    def stars(self, placed: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
+        """Pairs of each bucket's pivots with its members, and the pivots."""
+        # by one order for all buckets, so that buckets of one group mostly choose the same
+        slot = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots)) if pivots > 1 else F.lit(0)
+        row = F.struct("node", "n", "reach", "label")
+        chosen = placed.groupBy("key", slot.alias("slot")).agg(F.min_by(row, F.xxhash64("node")).alias("p")).select("key", "p.*")
+        chosen = stored(chosen, "near-pivots")
+        return self.pairs(placed, chosen, False), chosen
+
+    def close(self) -> None:
+        discard(self.inner, *self.verified, *([self._sets] if self._sets is not None else []))
+
+    def run(self) -> DataFrame:
+        """(node, label); label: the component's smallest node."""
+        members = self.members
+        placed, left = self.opened(members)
+        if not left:
+            return self.labels
+        star, chosen = self.stars(placed, 1)
+        self.verify(star, left)
+        members = placed.join(chosen.select("key", "node"), ["key", "node"], "left_anti").select(*members.columns)
+        rest, left = self.opened(members)
+        discard(placed, chosen, self.members)
         if not left:
-            return labels
-        # what follows is small if little is left: as many tasks as it takes
-        parts = 4 + left // ROWS_PER_TASK
-        all_pairs = placed.filter((F.col("left") <= SMALL) & F.lit(pivots > 1))
-        ours, theirs = (all_pairs.select("key", F.col("node").alias(n), F.col("label").alias(f"l{n}")) for n in ("a", "b"))
-        every = ours.join(theirs, "key").filter("a < b and la != lb").select("a", "b")
-        stars = placed.filter((F.col("left") > SMALL) | F.lit(pivots == 1))
-        # pivots by one order for all buckets, so that buckets of one group mostly choose the same
-        slot = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
-        chosen = stars.groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct("node", "label"), F.xxhash64("node")).alias("p")).select("key", "p.node", "p.label")
-        chosen = stored(chosen, "near-pivots", parts)
-        star = stars.join(chosen.select("key", F.col("node").alias("p"), F.col("label").alias("lp")), "key").filter("label != lp")
-        star = star.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-        pairs = stored(likely(every.union(star).distinct(), inner, percent), "near-pairs", parts)
-        if not pairs.isEmpty():
-            if sets is None:
-                sets = stored(sets_of(docs, inner, text, size), "near-sets")
-            labels = joined(labels, stored(linked(pairs, sets, percent), "near-links", parts), parts)
-        # a pivot has met its whole bucket; a small bucket has met itself
-        rest = placed.filter((F.col("left") > SMALL) | F.lit(pivots == 1)).select("key", "node")
-        members = rest.join(chosen.select("key", "node"), ["key", "node"], "left_anti")
-        pivots *= 4
+            return self.labels
+        small = rest.filter(F.col("left") <= SMALL)
+        self.verify(self.pairs(small, small, True), left * SMALL // 4)
+        large = rest.filter(F.col("left") > SMALL).select("node", "n").distinct()
+        if large.isEmpty():
+            return self.labels
+        members, pivots = prefixes(large, self.sets, self.percent), 1
+        discard(rest)
+        while True:
+            placed, left = self.opened(members)
+            if not left:
+                return self.labels
+            # a pivot meets its whole bucket, a small bucket meets itself
+            small, large = (placed.filter(x) for x in (F.col("left") <= SMALL, F.col("left") > SMALL))
+            star, chosen = self.stars(large, pivots)
+            self.verify(self.pairs(small, small, True).union(star), left * max(pivots, SMALL // 4))
+            old, members = members, stored(large.join(chosen.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n", "reach"), "near-members")
+            discard(placed, chosen, old)
+            pivots *= 4
 
 
 def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -263,11 +369,13 @@ def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
         F.min("doc").alias("id"), F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
     )
     info = stored(info, "near-info")
-    labels = components(docs, info, text, shingle, percent)
-    placed = info.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    work = Components(docs, info, text, shingle, percent)
+    placed = info.select("node", "id").join(work.run(), "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = stored(placed, "near-placed")
+    work.close()
     smallest = placed.groupBy("label").agg(F.min("id").alias("component_id"))
     final = stored(placed.join(smallest, "label").select("node", "component_id"), "near-components")
+    discard(info, placed)
     out = rows.select("doc", "n_shingles", "node").join(final, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("component_id"))
     return out.select(F.col("doc").alias(doc), "n_shingles", component.alias("component_id")).withColumn(

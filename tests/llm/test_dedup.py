@@ -45,6 +45,45 @@ def test_near_copies_by_brute_force(spark, size, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def template_group(rng, n, edits, size=150):
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(size)]
+    group = []
+    for _ in range(n):
+        own = list(words)
+        for _ in range(edits):
+            own[rng.randrange(size)] = f"new{rng.randint(0, 10**9)}"
+        group.append(" ".join(own))
+    return group
+
+
+def test_near_copies_around_the_threshold(spark):
+    """Copies of one template, some linked and some not, many more than a small bucket has."""
+    rng = random.Random(8)
+    texts = dict(enumerate([*template_group(rng, 60, 7), *template_group(rng, 40, 3)]))
+    words = texts[0].split()
+    texts |= {1000 + i: " ".join([*words[: 140 - i % 30], *(f"x{i}-{k}" for k in range(rng.randint(1, 14)))]) for i in range(60)}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    rows = near_dedup.near_duplicates(docs, shingle=3, percent=85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(texts, 3, 85)
+
+
+def test_near_copies_verify_in_proportion(spark, monkeypatch):
+    """A template group without links: verified pairs grow with the group, not with its square."""
+    rng, seen = random.Random(6), []
+    real = near_dedup.likely
+    monkeypatch.setattr(near_dedup, "likely", lambda pairs, *a: (seen.append([(bytes(r.a), bytes(r.b)) for r in pairs.collect()]), real(pairs, *a))[1])
+    counts = []
+    for n in (60, 240):
+        docs = spark.createDataFrame([*enumerate(template_group(rng, n, 9))], "doc_id long, text string")
+        seen.clear()
+        rows = near_dedup.near_duplicates(docs, shingle=3, percent=85).collect()
+        pairs = [x for some in seen for x in some]
+        assert len(pairs) == len(set(pairs))  # none twice
+        assert sum(r.kept for r in rows) > 0.9 * n
+        counts.append(len(pairs))
+    assert counts[1] < 8 * counts[0] and counts[1] < 240 * 239 / 8
+
+
 def test_near_copies_odd_rows(spark, odd_docs, no_docs):
     rows = near_dedup.near_duplicates(odd_docs).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in rows) == [
