@@ -139,7 +139,7 @@ def test_spans(spark):
 
 
 def test_spans_within_sentences(spark):
-    """A passage is removed whole wherever in a sentence it begins, at its last sentences, and without spaces."""
+    """A passage is found wherever in a sentence it begins, and goes but for a part of a unit at either end; whole at its last sentences, and without spaces."""
     rng = random.Random(9)
     plain = lambda n: sentence(rng, n)[:-1].lower()
     han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n))
@@ -153,10 +153,51 @@ def test_spans_within_sentences(spark):
     assert all(got[i].text == docs[i][1] and got[i].n_sentences_dropped == 0 for i in range(3))
     for i in range(3, 39):
         before, after = own[i]
+        if i % 3 == 0:  # within one sentence: at most a unit stays at either end
+            left = got[i].text.removeprefix(before).removesuffix(after).split()
+            assert got[i].text.startswith(before) and got[i].text.endswith(after) and len(left) <= 30 and got[i].n_sentences_dropped == 1
+            continue
         assert got[i].text == before + [" ", ".\n", "。"][i % 3] + after
         assert got[i].n_sentences_dropped == [1, 3, 2][i % 3]
 
 
+def test_spans_of_any_length_and_equal_ids(spark):
+    """Without a least number of words, two short sentences are a span; texts of one id or of none differ by their text."""
+    rng = random.Random(2)
+    pair = "One two three four five six. Seven eight nine ten eleven twelve thirteen."
+    docs = [(i, f"{sentence(rng, 9)} {pair} {sentence(rng, 8)}") for i in (1, 2, 3, 3, None, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert all(r.n_sentences_dropped == 0 for r in span_dedup.drop_repeats(frame).collect())
+    got = span_dedup.drop_repeats(frame, min_words=1).collect()
+    assert sorted(r.n_sentences_dropped for r in got) == [0, 2, 2, 2, 2, 2]
+    assert next(r for r in got if r.doc_id == 1).n_sentences_dropped == 0 and all("Seven eight" not in r.text for r in got if r.doc_id != 1)
+
+
+def test_spans_by_brute_force(spark):
+    """Every run of units of at least the size that an earlier document has, compared word by word."""
+    rng = random.Random(12)
+    stock = [sentence(rng, rng.randint(3, 30)) for _ in range(25)]
+    docs = [(i, " ".join(rng.choice(stock) if rng.random() < 0.8 else sentence(rng, rng.randint(3, 30)) for _ in range(rng.randint(2, 12)))) for i in range(60)]
+    units = {i: [w for _, w in zip(*span_dedup.sentences(t)[:2], strict=True)] for i, t in docs}
+    runs = {}
+    for i, own in units.items():
+        for a in range(len(own)):
+            for b in range(a + 2, len(own) + 1):
+                if sum(len(u.split()) for u in own[a:b]) >= 20:
+                    runs.setdefault(" ".join(own[a:b]), []).append((i, a, b))
+    gone = {i: set() for i, _ in docs}
+    for found in runs.values():
+        first = found[0]
+        for x in found[1:]:
+            if x[0] != first[0] or x[1] >= first[2]:
+                gone[x[0]].update(range(x[1], x[2]))
+    rows = span_dedup.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sum(map(len, gone.values())) > 50
+    for r in rows:
+        expected = [u for k, u in enumerate(units[r.doc_id]) if k not in gone[r.doc_id]]
+        assert r.text.lower().split() == " ".join(expected).split()
+
+
 def test_spans_odd_rows(odd_docs, no_docs):
     rows = span_dedup.drop_repeats(odd_docs)
     assert rows.count() == odd_docs.count() and span_dedup.drop_repeats(no_docs).count() == 0
