@@ -164,6 +164,58 @@ def test_hamming_index(spark):
     assert 2000 not in got and hamming_index.nearest(table.limit(0), table.limit(0)).count() == 0
 
 
+def found_by(spark, rows, where, k=10):
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string, score string, query_id string, id int, v int")
+    got = {}
+    for r in hamming_index.nearest(table, table.filter(where), k=k).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return {q: [x[1:] for x in sorted(own)] for q, own in got.items()}
+
+
+def test_every_query_gets_its_number(spark):
+    """Outlying queries, few rows, and one; null and clashing extra columns."""
+    rng = np.random.default_rng(3)
+    extra = (None, "x", None, 1, None)
+    rows = [(i, (rng.normal(size=64) * 0.02 + 1).tolist(), *extra) for i in range(1500)]
+    rows += [(5000 + i, (-50 * rng.normal(size=64)).tolist(), *extra) for i in range(5)]
+    got = found_by(spark, rows, "vec_id >= 5000 or vec_id % 300 = 0")
+    assert len(got) == 10 and all(len(x) == 10 for x in got.values())
+    few = found_by(spark, rows[:11], "vec_id % 5 = 0")
+    assert len(few) == 3 and all(len(x) == 10 for x in few.values())
+    for q, own in few.items():
+        assert own == hamming_index.exact(((r[0], np.asarray(r[1])) for r in rows[:11]), np.asarray(rows[q][1]), q, 10)
+    assert all(len(x) == 3 for x in found_by(spark, rows[:4], "true").values()) and found_by(spark, rows[:1], "true") == {}
+
+
+def test_repeated_ids_count_once(spark):
+    rng = np.random.default_rng(4)
+    centre, extra = rng.normal(size=32), (None,) * 5
+    rows = [(i % 40, (centre + rng.normal(size=32)).tolist(), *extra) for i in range(2000)] + [(100, centre.tolist(), *extra)] * 3
+    got = found_by(spark, rows, "vec_id = 100")
+    nearest = {}
+    for i, v, *_ in rows[:2000]:
+        d = float(np.sqrt(((np.asarray(v) - centre) ** 2).sum()))
+        nearest[i] = min(d, nearest.get(i, d))
+    own = got[100]
+    assert len(own) == 10 and len({i for i, _ in own}) == 10
+    assert len({i for i, _ in own} & set(sorted(nearest, key=nearest.get)[:10])) >= 9
+
+
+def test_clustered_vectors_are_probed_in_part():
+    """Vectors in clusters: a small radius, few rows probed, and the neighbours found."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 64))
+    x = np.concatenate([c + rng.normal(size=(50, 64)) * 0.05 for c in centres])
+    model = hamming_index.fit_rotation(x, 10)
+    index, hits, probed = hamming_index.Parts(model, x), 0, 0
+    for i in range(0, 3000, 30):
+        found = index.within(index.codes[i])
+        probed += index.probed
+        near = np.argsort(((x - x[i]) ** 2).sum(1), kind="stable")[1:11]
+        hits += len(set(near.tolist()) & set(found.tolist()))
+    assert hits >= 900 and probed < 0.1 * 3000 * 100
+
+
 def test_parts_find_every_code_in_the_radius():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(400, 24))
