@@ -2,10 +2,16 @@
 
 Terms are all words of the examples and the beginnings of words. Examples and texts are TF-IDF
 vectors of these terms; document frequencies are counted over all documents, and a term that
-occurs in toxic examples significantly more often weighs more, by its significance. Toxic and
-clean examples are kept in an inverted index; the terms that many examples have are a dense
-matrix beside it. The cosine to every example is computed, so the nearest examples are exact.
-Their votes, weighted by distance, are calibrated by isotonic regression on left-out examples.
+occurs in toxic examples significantly more often weighs more, by its significance.
+
+Toxic and clean examples, similar ones side by side, lie in blocks of BLOCK_SIZE. The inverted
+index has, for each term, its postings and, if they are more than FEW, the largest weight in each
+block. Of a text, the few postings of rare terms and a dense matrix of the terms that many examples
+have give a part of the cosine with every example; with the largest weights of the other terms
+they bound the cosine with the examples of a block. The blocks of highest bound are opened first,
+and the others only if their bound reaches the cosine of the nearest examples found so far: the
+nearest examples are exact. Their votes, weighted by distance, are calibrated by isotonic
+regression on left-out examples.
 """
 
 from __future__ import annotations
@@ -29,10 +35,14 @@ MIN_G2, MIN_TOXIC = 25.0, 4
 #: Lengths of the beginnings of words that are terms beside the words.
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
-#: Texts whose cosines are computed together.
-BLOCK = 64
+#: Texts whose cosines with common terms are computed together.
+TOGETHER = 64
+#: Examples of a block, blocks that are opened first, and postings up to which a term has no bounds by block.
+BLOCK_SIZE, FIRST, FEW = 64, 4, 24
+#: Groups of similar examples that the blocks are cut from, about, and dimensions in which they are formed.
+GROUPS, SKETCH = 64, 256
 #: Terms that more than one of so many examples has are rows of the dense matrix.
-DENSE = 8
+DENSE = 12
 
 
 def term_codes(distinct: list[str]) -> tuple[list[np.ndarray], list[str]]:
@@ -46,47 +56,77 @@ def term_codes(distinct: list[str]) -> tuple[list[np.ndarray], list[str]]:
 
 @dataclass
 class Model:
-    terms: list[str] = field(default_factory=list)
+    terms: pa.Array = field(default_factory=lambda: pa.array([], pa.large_string()))
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))  # rows of the corpus that an example stands for
+    rank: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # for ties: places by id
     starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # postings of each term that has no dense row
-    examples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    examples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     values: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    bound_row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each term, -1: none
+    highest: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # terms with bounds x blocks, rounded up
+    places: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.int32))  # where each block's postings start
     dense_row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each term, -1: none
-    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # terms with a dense row x examples
+    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # terms with a dense row x examples, whole blocks
     base: float = 0.0  # share of toxic among examples without a word
     knots: tuple[np.ndarray, np.ndarray] = (np.asarray([0.0, 1.0]), np.asarray([0.0, 1.0]))
+    opened: int = 0  # blocks opened and passed over so far
+    passed: int = 0
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The examples of highest cosine with a unit vector, and the cosines; ties to the first example."""
-        return self.best(self.cosines([(terms, values)])[0], without)
-
-    def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The cosines of unit vectors (terms, values) with all examples."""
-        n = len(self.labels)
-        out, common = np.zeros((len(vectors), n)), np.zeros((len(vectors), len(self.dense)))
+        return self.nearest_of([(terms, values)], [without])[0]
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        common = np.zeros((len(vectors), len(self.dense)))
+        rows = [self.dense_row[terms] for terms, _ in vectors]
+        for own, row, (_, values) in zip(common, rows, vectors, strict=True):
+            own[row[row >= 0]] = values[row >= 0]
+        known = common @ self.dense
+        skip = without or [-1] * len(vectors)
+        return [self.search(cosine, terms[row < 0], values[row < 0], own) for cosine, row, (terms, values), own in zip(known, rows, vectors, skip, strict=True)]
+
+    def search(self, cosine: np.ndarray, terms: np.ndarray, values: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """cosine: with all examples, over common terms; terms and values: the others."""
+        n = len(cosine)
         if not n:
-            return out
-        for i, (terms, values) in enumerate(vectors):
-            row = self.dense_row[terms]
-            common[i, row[row >= 0]] = values[row >= 0]
-            terms, values = terms[row < 0], values[row < 0]
-            size = self.starts[terms + 1] - self.starts[terms]
-            at = gather(self.starts[terms], size)
-            out[i] = np.bincount(self.examples[at], self.values[at] * np.repeat(values, size), n)
-        return out + common @ self.dense
-
-    def best(self, cosine: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        if 0 <= without < len(cosine):
-            cosine[without] = 0
-        found = np.flatnonzero(cosine > 1e-12)
+            return np.zeros(0, np.int64), np.zeros(0)
+        row = self.bound_row[terms]
+        rare = terms[row < 0]
+        size = self.starts[rare + 1] - self.starts[rare]
+        at = gather(self.starts[rare], size)
+        cosine += np.bincount(self.examples[at], self.values[at] * np.repeat(values[row < 0], size), n)
+        row, values = row[row >= 0], values[row >= 0]
+        bound = cosine.reshape(-1, BLOCK_SIZE).max(1) + (values.astype(np.float32) @ self.highest[row]) * 1.0001
+        todo = bound > 1e-12
+        first = np.zeros(len(bound), bool)
+        first[np.argpartition(bound, -min(FIRST, len(bound)))[-FIRST:]] = True
+        seen = np.zeros(len(bound), bool)
+        for some in (first & todo, todo):
+            if seen.any():
+                reached = cosine.reshape(-1, BLOCK_SIZE)[seen].ravel()
+                least = np.partition(reached, -NEIGHBOURS)[-NEIGHBOURS] if len(reached) >= NEIGHBOURS else 0.0
+                some = some & ~seen & (bound >= least - 1e-9)
+            # neighbouring blocks are opened together
+            edges = np.flatnonzero(np.diff(some, prepend=False, append=False))
+            if len(edges):
+                ranges = self.places[row[:, None], edges]
+                start, size = ranges[:, ::2].ravel(), (ranges[:, 1::2] - ranges[:, ::2]).ravel()
+                at = gather(start, size)
+                cosine += np.bincount(self.examples[at], self.values[at] * np.repeat(np.repeat(values, len(edges) // 2), size), n)
+            if without >= 0:
+                cosine[without] = 0
+            seen |= some
+        self.opened += int(seen.sum())
+        self.passed += int((~seen).sum())
+        found = np.flatnonzero(np.repeat(seen, BLOCK_SIZE) & (cosine > 1e-12))
         near = np.round(cosine[found], 12)
         if len(found) > NEIGHBOURS:
             top = near >= np.partition(near, -NEIGHBOURS)[-NEIGHBOURS]
             found, near = found[top], near[top]
-        best = found[np.lexsort((found, -near))][:NEIGHBOURS]
+        best = found[np.lexsort((self.rank[found], -near))][:NEIGHBOURS]
         return best, np.minimum(cosine[best], 1.0)
 
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
@@ -121,21 +161,26 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 class Vectors:
     """TF-IDF vectors of texts over a vocabulary, of unit length."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray | None = None):
-        self.place = {t: i for i, t in enumerate(terms)}
-        self.idf = idf
+    def __init__(self, terms: pa.Array | list[str], idf: np.ndarray | None = None):
+        names = pa.array(terms, pa.large_string()) if isinstance(terms, list) else terms
+        self.size, self.idf = len(names), idf
+        text = pc.utf8_slice_codeunits(names, 2)
+        sizes = np.where(np.asarray(pc.starts_with(names, "w:")), 0, np.asarray(pc.utf8_length(text)))
+        #: For words and each length of beginnings the known ones and their terms.
+        self.kinds = [(n, text.filter(pa.array(sizes == n)), np.append(np.flatnonzero(sizes == n), -1)) for n in (0, *PREFIXES)]
 
     def counts(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, occurrences) of the terms that occur, by row and term."""
         words, offsets = words_of(array)
-        codes, distinct = coded(words)
+        found = words.dictionary_encode()
+        codes, distinct = np.asarray(found.indices), found.dictionary
         rows = np.repeat(np.arange(len(array)), np.diff(offsets))
-        size = max(1, len(self.place))
+        size, length = max(1, self.size), np.asarray(pc.utf8_length(distinct))
         keys = []
-        kinds, names = term_codes(distinct)
-        own = np.fromiter((self.place.get(t, -1) for t in names), np.int64, len(names))
-        for kind in kinds:
-            term = np.where(kind >= 0, own[kind] if len(own) else -1, -1)
+        for n, known, terms in self.kinds:
+            own = pc.utf8_slice_codeunits(distinct, 0, n) if n else distinct
+            place = np.asarray(pc.fill_null(pc.index_in(own, value_set=known), -1))
+            term = np.where(length > n, terms[place], -1)
             each = term[codes] if len(codes) else np.zeros(0, np.int64)
             keys.append((rows * size + each)[each >= 0])
         found, n = np.unique(np.concatenate(keys), return_counts=True)
@@ -187,13 +232,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str =
     counted = rows.mapInArrow(count, schema).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = counted.toArrow()  # the terms of at most about two times `limit` examples
     counted = counted.take(pc.sort_indices(counted.column("term").combine_chunks()))
-    names = counted.column("term").to_pylist()
+    names = counted.column("term").combine_chunks().cast(pa.large_string())
     a, b = (np.asarray(counted.column(c)).astype(np.float64) for c in ("toxic", "clean"))
-    term = np.fromiter((t != "all" for t in names), bool, len(names))
+    term = np.asarray(pc.not_equal(names, "all"))
     n1, n0 = float(a[~term].sum()), float(b[~term].sum())
     if not n1 or not n0:
         return Model()
-    terms = [t for t in names if t != "all"]
+    terms = names.filter(pa.array(term))
     boost = emphasis(a[term], b[term], n1, n0)
     sent = docs.sparkSession.sparkContext.broadcast(terms)
 
@@ -201,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str =
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, rows = Vectors(sent.value), 0
-        total = np.zeros(len(vectors.place), np.int64)
+        total = np.zeros(vectors.size, np.int64)
         for batch in rows_of(batches, "text"):
             total += np.bincount(vectors.counts(texts(batch))[1], minlength=len(total))
             rows += batch.num_rows
@@ -249,35 +294,66 @@ def emphasis(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
     return np.where((a >= MIN_TOXIC) & (a / n1 > 3 * b / n0) & (g2 >= MIN_G2), 1 + g2, 1.0)
 
 
-def build(terms: list[str], idf: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]], weight: dict[int, float]) -> Model:
+def side_by_side(example: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, terms: int) -> np.ndarray:
+    """An order of n examples in which similar ones are near: groups by random projections."""
+    rng = np.random.Generator(np.random.PCG64(17))
+    sketch = np.stack([np.bincount(example, value * rng.choice([-1.0, 1.0], terms)[term], n) for _ in range(SKETCH)], 1)
+    sketch /= np.maximum(1e-9, np.linalg.norm(sketch, axis=1, keepdims=True))
+    centres = sketch[rng.choice(n, min(n, GROUPS), replace=False)]
+    for _ in range(10):
+        group = (sketch @ centres.T).argmax(1)
+        centres = np.stack([sketch[group == k].mean(0) if (group == k).any() else c for k, c in enumerate(centres)])
+        centres /= np.maximum(1e-9, np.linalg.norm(centres, axis=1, keepdims=True))
+    return np.lexsort((sketch @ rng.normal(size=SKETCH), group))
+
+
+def build(terms: pa.Array | list[str], idf: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]], weight: dict[int, float]) -> Model:
     """The index of the examples, and the calibration by leaving each out."""
     vectors = Vectors(terms, idf)
     filled = sorted(((doc, bad, own, vectors.unit(own, n)) for doc, bad, own, n in rows if len(own)), key=lambda x: (x[0], x[1], x[2].tobytes()))
     blank = [(weight[bad] * bad, weight[bad]) for _, bad, own, _ in rows if not len(own)]
+    rank = np.zeros(0, np.int64)
+    if filled:
+        flat = np.repeat(np.arange(len(filled)), [len(x[2]) for x in filled]), np.concatenate([x[2] for x in filled]), np.concatenate([x[3] for x in filled])
+        rank = side_by_side(*flat, len(filled), len(terms))
+        filled = [filled[i] for i in rank]
     labels, weights = np.asarray([x[1] for x in filled], np.float64), np.asarray([weight[x[1]] for x in filled])
     # without an example that has no word: the share of toxic among all
     share = float(weights @ labels / weights.sum()) if filled else 0.25
     base = np.sum([*blank, (2.0 * share, 2.0)], 0)
-    example = np.repeat(np.arange(len(filled), dtype=np.int32), [len(x[2]) for x in filled])
+    example = np.repeat(np.arange(len(filled)), [len(x[2]) for x in filled])
     term = np.concatenate([x[2] for x in filled]) if filled else np.zeros(0, np.int64)
     value = np.concatenate([x[3] for x in filled]) if filled else np.zeros(0)
     count = np.bincount(term, minlength=len(terms))
     common = np.flatnonzero(count * DENSE > len(filled))
     dense_row = np.full(len(terms), -1)
     dense_row[common] = np.arange(len(common))
-    dense = np.zeros((len(common), len(filled)))
+    dense = np.zeros((len(common), -(-len(filled) // BLOCK_SIZE) * BLOCK_SIZE))
     row = dense_row[term]
     dense[row[row >= 0], example[row >= 0]] = value[row >= 0]
     term, example, value = term[row < 0], example[row < 0], value[row < 0]
-    order = np.argsort(term, kind="stable")
-    starts = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(terms)))))
+    order = np.lexsort((example, term))
+    term, example, value = term[order], example[order], value[order]
+    starts = np.searchsorted(term, np.arange(len(terms) + 1))
+    bounded = np.flatnonzero(np.diff(starts) > FEW)
+    bound_row = np.full(len(terms), -1)
+    bound_row[bounded] = np.arange(len(bounded))
+    n_blocks, row = dense.shape[1] // BLOCK_SIZE, bound_row[term]
+    highest = np.zeros((len(bounded), n_blocks), np.float32)
+    block = example // BLOCK_SIZE
+    np.maximum.at(highest, (row[row >= 0], block[row >= 0]), np.nextafter(value[row >= 0].astype(np.float32), np.float32(2)))
+    # term by term and block by block, so the places of all blocks follow each other
+    of = np.bincount(row[row >= 0] * n_blocks + block[row >= 0], minlength=len(bounded) * n_blocks).reshape(-1, max(1, n_blocks))
+    places = np.concatenate((np.zeros((len(bounded), 1), np.int64), np.cumsum(of, 1)), 1) + starts[bounded][:, None]
     model = Model(
-        terms, idf, np.asarray([x[0] for x in filled], np.int64), labels, weights, starts.astype(np.int64), example[order], value[order], dense_row, dense, float(base[0] / base[1])
-    )
+        pa.array(terms, pa.large_string()) if isinstance(terms, list) else terms, idf, np.asarray([x[0] for x in filled], np.int64), labels, weights, rank, starts, example, value,
+        bound_row, highest, places.astype(np.int32), dense_row, dense, float(base[0] / base[1]),
+    )
     votes = []
-    for at in range(0, len(filled), BLOCK):
-        for i, cosine in enumerate(model.cosines([x[2:] for x in filled[at : at + BLOCK]]), at):
-            votes.append(model.vote(*model.best(cosine, i)))
+    for at in range(0, len(filled), TOGETHER):
+        some = [x[2:] for x in filled[at : at + TOGETHER]]
+        votes += [model.vote(*found) for found in model.nearest_of(some, list(range(at, at + len(some))))]
+    model.opened = model.passed = 0
     x = np.asarray([*votes, model.base])
     y = np.asarray([*model.labels, model.base])
     w = np.asarray([*model.weights, float(base[1])])
@@ -315,11 +391,10 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
             place = {key: (a, b) for key, a, b in zip(keys, cut[:-1], cut[1:], strict=True) if a < b}
             known: dict[bytes, tuple[float, list[dict]]] = {b"": (none, [])}
             every = list(place.items())
-            for at in range(0, len(every), BLOCK):
-                some = every[at : at + BLOCK]
-                found = m.cosines([(term[a:b], vectors.unit(term[a:b], n[a:b])) for _, (a, b) in some])
-                for (key, _), own in zip(some, found, strict=True):
-                    best, cosine = m.best(own)
+            for at in range(0, len(every), TOGETHER):
+                some = every[at : at + TOGETHER]
+                found = m.nearest_of([(term[a:b], vectors.unit(term[a:b], n[a:b])) for _, (a, b) in some])
+                for (key, _), (best, cosine) in zip(some, found, strict=True):
                     proof = zip(best, cosine, strict=True) if m.labels[best].any() else ()
                     known[key] = (m.calibrated(m.vote(best, cosine)), [{"doc_id": int(m.ids[i]), "cosine": float(c), "toxic": int(m.labels[i])} for i, c in proof])
             values, every = [known[key][0] for key in keys], [known[key][1] for key in keys]

@@ -105,6 +105,29 @@ def test_block_max_is_exact():
         assert len(best) == min(toxicity.NEIGHBOURS, int((cosine > 1e-12).sum()))
 
 
+def test_block_max_passes_blocks_over():
+    """Texts near a group of examples leave the blocks of other groups closed, and find the same as a full scan."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(3840):
+        group = i % 6
+        terms = np.unique(np.concatenate((rng.integers(group * 60, group * 60 + 60, 25), rng.integers(360, 380, 4))))
+        rows.append((i, int(rng.integers(0, 2)), terms, rng.integers(1, 3, len(terms))))
+    model = toxicity.build([f"w:{i}" for i in range(380)], rng.uniform(1, 5, 380), rows, {0: 1.0, 1: 1.0})
+    vectors = toxicity.Vectors(model.terms, model.idf)
+    own = {r[0]: (r[2], vectors.unit(r[2], r[3])) for r in rows}
+    full = np.zeros((3840, 380))
+    for k, i in enumerate(model.ids.tolist()):
+        full[k, own[i][0]] = own[i][1]
+    for i in range(0, 3840, 40):
+        terms = np.unique(np.concatenate((own[i][0][: len(own[i][0]) // 2], rng.integers((i % 6) * 60, (i % 6) * 60 + 60, 8))))
+        values = vectors.unit(terms, np.ones(len(terms)))
+        best, found = model.nearest(terms, values)
+        expected = np.sort(full[:, terms] @ values)[::-1][: toxicity.NEIGHBOURS]
+        assert np.allclose(found, expected)
+    assert model.passed > model.opened
+
+
 def levenshtein_in(item, text):
     row = [0] * (len(text) + 1)
     for i, x in enumerate(item, 1):
