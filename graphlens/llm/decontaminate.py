@@ -3,7 +3,11 @@
 An item of n characters has an error budget of e edits and is cut into e + 1 pieces: whatever
 e edits do, one piece stays as it is (pigeonhole). All pieces go into one Aho-Corasick automaton
 that runs over each normalised document once; around each hit, Myers' bit-parallel algorithm
-gives the smallest edit distance of the whole item to any substring of the window.
+gives the smallest edit distance of the whole item to any substring of the window. Items and
+documents have a space at either end, so an item that is found begins and ends with words.
+
+A benchmark of more than BLOCK_CHARS characters is handled in blocks one after the other: each
+block reads the documents once and writes what it finds, and its automaton goes with its tasks.
 """
 
 from __future__ import annotations
@@ -12,11 +16,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_batches, rows_of, texts
+from .shared import bounded_batches, discard, rows_of, stored, texts
 
 #: Edits allowed for each character of an item.
 ERRORS = 0.05
@@ -33,14 +38,24 @@ def normal(text: str) -> str:
     return _SPACES.sub(" ", text.lower()).strip()
 
 
+def framed(text: str) -> str:
+    """A normal form with a space at either end."""
+    return f" {text} "
+
+
 def budget(n: int, errors: float = ERRORS) -> int:
     """Edits allowed for an item of n characters."""
     return max(0, min(int(n * errors), n // MIN_PIECE - 1))
 
 
+def allowed(item: str, errors: float = ERRORS) -> int:
+    """Edits allowed for a framed item: the frame does not count."""
+    return budget(len(item) - 2, errors)
+
+
 def pieces(item: str, errors: float = ERRORS) -> list[tuple[int, str]]:
     """budget + 1 pieces of nearly equal length with their places, end to end."""
-    k = budget(len(item), errors) + 1
+    k = allowed(item, errors) + 1
     cuts = [len(item) * i // k for i in range(k + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -97,7 +112,7 @@ class Matcher:
         self.empty = not owners
 
     def find(self, text: str) -> dict[int, tuple[int, int]]:
-        """item_id -> smallest edit distance, of the items found in a normalised text."""
+        """item_id -> smallest edit distance, of the items found in a framed text."""
         found: dict[int, int] = {}
         tried: dict[int, list[tuple[int, int]]] = {}
         if self.empty:
@@ -111,7 +126,7 @@ class Matcher:
                 if text.startswith(item, max(0, start)) and start >= 0:
                     found[i] = 0
                     continue
-                e = budget(len(item), self.errors)
+                e = allowed(item, self.errors)
                 a, b = max(0, start - e), start + len(item) + e
                 if any(x <= a and b <= y for x, y in tried.get(i, ())):
                     continue
@@ -128,45 +143,54 @@ class Matcher:
 LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType())])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", errors: float = ERRORS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", errors: float = ERRORS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with leaks: for each benchmark item found, its id and edit distance, by id.
 
     An item is found if a substring of the normalised document (lower case, single spaces for
-    what is no letter or digit) is within errors * length edits of the normalised item, and at most one edit
-    for each MIN_PIECE characters. Null and empty items and those with a null id match nothing;
+    what is no letter or digit, a space at either end) is within errors * length edits of the
+    item in the same form, and at most one edit for each MIN_PIECE characters: an item of fewer
+    than 2 * MIN_PIECE characters is found only as it is, as whole words. Null and empty items and those with a null id match nothing;
     equal items are all reported; an id that comes twice is reported once, with its smallest
     distance. Null and empty texts have no leaks; repeated rows and other columns stay; a column
-    named leaks is replaced. The benchmark is read to the driver, in blocks of BLOCK_CHARS
-    characters; documents are read once for each block.
+    named leaks is replaced. The benchmark comes to the driver in blocks of `block_chars`
+    characters; documents are read once for each block, and written between blocks.
     """
     bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "leaks"]
     out = docs.select(*[docs[f"`{c}`"] for c in kept], F.array().cast(T.ArrayType(LEAK)).alias("leaks"))
     rows = benchmark.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("text")).filter("id is not null and text is not null")
-    for block in blocks(rows):
-        out = with_block(out, text, block, errors)
+    before = None
+    for block in blocks(rows, block_chars):
+        if before is not None:
+            done, shared = stored(out, "leaks"), before
+            if hasattr(read, "stored_at"):
+                discard(read)
+            shared.unpersist()
+            out = done
+        read = out
+        before = docs.sparkSession.sparkContext.broadcast(block)  # bounded by block_chars
+        out = with_block(out, text, before, errors)
     return out
 
 
-def blocks(rows: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of BLOCK_CHARS characters; one block is on the driver at a time."""
+def blocks(rows: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+    """The framed items in blocks of block_chars characters; one block is on the driver at a time."""
     held: list[tuple[int, str]] = []
     size = 0
     for r in rows.distinct().orderBy("id", "text").toLocalIterator():
         own = normal(r.text)
         if not own:
             continue
-        held.append((r.id, own))
+        held.append((r.id, framed(own)))
         size += len(own)
-        if size >= BLOCK_CHARS:
+        if size >= block_chars:
             yield held
             held, size = [], 0
     if held:
         yield held
 
 
-def with_block(docs: DataFrame, text: str, block: list[tuple[int, str]], errors: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)  # bounded by BLOCK_CHARS
+def with_block(docs: DataFrame, text: str, shared: Broadcast, errors: float) -> DataFrame:
     names = docs.columns
     at = names.index("leaks")
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
@@ -176,7 +200,7 @@ def with_block(docs: DataFrame, text: str, block: list[tuple[int, str]], errors:
         for batch in rows_of(batches, text):
             merged = []
             for value, before in zip(texts(batch, text).to_pylist(), batch.column(at).to_pylist(), strict=True):
-                found = matcher.find(normal(value))
+                found = matcher.find(framed(normal(value)))
                 for x in before:
                     found[x["item_id"]] = min(x["distance"], found.get(x["item_id"], x["distance"]))
                 merged.append([{"item_id": i, "distance": d} for i, d in sorted(found.items())])

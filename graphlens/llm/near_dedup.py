@@ -45,8 +45,8 @@ UNIVERSE = 1 << 20
 SEED = 20240917
 #: Members up to which a bucket compares all that is left pair by pair.
 SMALL = 16
-#: Rows of a round that one task handles.
-ROWS_PER_TASK = 20_000
+#: Rows of a round that one task handles, and pairs with the sets of both sides.
+ROWS_PER_TASK, SETS_PER_TASK = 20_000, 2_000
 #: Rows up to which a side is broadcast, for keys of a few bytes.
 BROADCAST_ROWS = 200_000
 
@@ -222,8 +222,8 @@ def joined(labels: DataFrame, links: DataFrame, parts: int) -> DataFrame:
     return labels
 
 
-def tasks(rows: int) -> int:
-    return 4 + rows // ROWS_PER_TASK
+def tasks(rows: int, each: int = ROWS_PER_TASK) -> int:
+    return 4 + rows // each
 
 
 def prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -301,7 +301,7 @@ class Components:
         near = stored(likely(pairs, self.inner, self.percent), "near-likely", parts)
         n = near.count()
         if n:
-            links = stored(linked(near, self.sets, self.percent), "near-links", tasks(n))
+            links = stored(linked(near, self.sets, self.percent), "near-links", tasks(n, SETS_PER_TASK))
             before, self.labels = self.labels, joined(self.labels, links, tasks(n))
             discard(links, *([before] if before is not self.labels and hasattr(before, "stored_at") else []))
         discard(near)

@@ -155,11 +155,14 @@ def test_edit_matching_by_brute_force(spark, odd_docs, no_docs):
         expected = {}
         for i, item in items[:8]:
             item = decontaminate.normal(item)
-            d = levenshtein_in(item, decontaminate.normal(r.text))
+            d = levenshtein_in(f" {item} ", f" {decontaminate.normal(r.text)} ")
             if d <= decontaminate.budget(len(item)):
                 expected[i] = d
         assert {x.item_id: x.distance for x in r.leaks} == expected
     bench = spark.createDataFrame(items, "item_id long, text string")
+    small = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench, block_chars=1)  # a block for each item
+    assert {r.doc_id: r.leaks for r in small.collect()} == {r.doc_id: r.leaks for r in found}
+    assert small._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert decontaminate.leaks(odd_docs, bench).count() == odd_docs.count() and decontaminate.leaks(no_docs, bench).count() == 0
     assert {len(r.leaks) for r in decontaminate.leaks(odd_docs, bench.limit(0)).collect()} == {0}
 
@@ -249,6 +252,12 @@ def test_parts_find_every_code_in_the_radius():
         assert index.within(code).tolist() == np.flatnonzero(far <= model.radius).tolist()
 
 
+def test_items_are_whole_words(spark):
+    docs = spark.createDataFrame([(1, "the cathode is hot"), (2, "The CAT, is hot"), (3, "cat"), (4, "concat")], "doc_id long, text string")
+    found = decontaminate.leaks(docs, spark.createDataFrame([(1, "cat")], "item_id long, text string")).collect()
+    assert {r.doc_id: [x.item_id for x in r.leaks] for r in found} == {1: [], 2: [1], 3: [1], 4: []}
+
+
 RULES = [Rule("block", "net/"), Rule("allow", "example.net/en/"), Rule("block", "example.com/de/"), Rule("allow", "org/fr/")]
 
 
