@@ -19,8 +19,8 @@ from .shared import stored
 
 #: Distinct sites from which a line counts as boilerplate.
 MIN_SITES = 10
-#: Characters, without surrounding white space, that a line must have at least.
-MIN_CHARS = 12
+#: Characters, without surrounding white space, that a line must have at least: all lines but blank ones.
+MIN_CHARS = 1
 #: Sketch estimates within this share of the threshold are counted exactly.
 NEAR = 0.5
 #: Log2 of the sketch's registers: a relative error of about 2.3 per cent.

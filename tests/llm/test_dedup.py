@@ -97,7 +97,9 @@ def test_lines(spark, odd_docs, no_docs):
     rows = [(i, f"own text number {i} of its site\n{common}\nshort", f"s{i % 12}") for i in range(24)]
     rows += [(100, f"near one\n{common}", None), (101, "seen on nine sites only", "s0")] + [(200 + i, "seen on nine sites only", f"s{i}") for i in range(9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.doc_id: r for r in line_dedup.drop_spread_lines(docs).collect()}
+    every = {r.doc_id: r.text for r in line_dedup.drop_spread_lines(docs).collect()}
+    assert every[0] == rows[0][1] and every[5] == "own text number 5 of its site"  # short lines count too
+    got = {r.doc_id: r for r in line_dedup.drop_spread_lines(docs, min_chars=12).collect()}
     assert got[0].text == rows[0][1] and got[0].n_lines_dropped == 0  # the first keeps it
     assert got[5].text == "own text number 5 of its site\nshort" and got[5].n_lines_dropped == 1
     assert got[100].text == "near one"
