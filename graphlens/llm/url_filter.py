@@ -4,8 +4,10 @@ Paths form a tree per host. Level by level, segments that vary become wildcards:
 digits (with an affix that has none, such as `.html`) always, other segments where a node has
 more than MAX_CHILDREN distinct ones. Sibling branches (templates of a host that differ in one segment
 alone, at any level) whose labelled block rates do not differ significantly are merged, deepest
-level first, and their evidence is pooled. A template is rejected if its smoothed share of blocked labelled pages is
-high enough. Labelled pages are those that a rule decides, and those labelled by the caller.
+level first, and their evidence is pooled. Above the templates evidence moves up the tree: in a
+node every labelled template below it is one vote, smoothed towards the node above, so that one
+blocked branch does not condemn its siblings and many do. A template is rejected if its share of
+blocked labelled pages, smoothed towards the node above it, is high enough. Labelled pages are those that a rule decides, and those labelled by the caller.
 
 DataFrame functions only. The tree works on distinct (host, path) pairs with counts, which
 partial aggregates form before any shuffle; joins against a host's few tree nodes are salted, so
@@ -24,7 +26,7 @@ from .shared import stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Distinct children of one kind beyond which they are one wildcard.
 MAX_CHILDREN = 32
-#: Pseudo-pages of PRIOR block rate added to each template's evidence.
+#: Pseudo-pages (of a node: votes) of the rate above that are added to the evidence; PRIOR above all hosts.
 STRENGTH, PRIOR = 4.0, 0.5
 #: Smoothed block rate from which a template is rejected.
 REJECT = 0.8
@@ -136,12 +138,25 @@ def purities(leaves: DataFrame) -> DataFrame:
         new = links.select("host", "group", "label").distinct()
         groups = groups.join(new, ["host", "group"], "left").select("host", "leaf", F.coalesce("label", "group").alias("group"), "blocked", "labelled")
         groups = stored(groups, "url-groups")
+    groups = groups.join(priors(leaves), ["host", "leaf"])
     merged = Window.partitionBy("host", "group")
-    block, every = F.sum("blocked").over(merged), F.sum("labelled").over(merged)
-    purity = groups.select("host", "leaf", ((block + STRENGTH * PRIOR) / (every + STRENGTH)).alias("purity"))
+    block, every, prior = F.sum("blocked").over(merged), F.sum("labelled").over(merged), F.avg("prior").over(merged)
+    purity = groups.select("host", "leaf", ((block + STRENGTH * prior) / (every + STRENGTH)).alias("purity"))
     return leaves.join(purity, ["host", "leaf"]).select("host", "head", "rest", "purity")
 
 
+def priors(leaves: DataFrame) -> DataFrame:
+    """(host, leaf, prior): the smoothed rate of the node above each template (host, leaf, blocked, labelled)."""
+    parts = F.split("leaf", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.struct(k.alias("depth"), F.concat_ws("/", F.slice(parts, F.lit(1), k)).alias("prefix")))
+    at = leaves.select("host", "leaf", F.when(F.col("labelled") > 0, F.col("blocked") / F.col("labelled")).alias("rate"), F.explode(above).alias("node"))
+    # rates are summed as whole numbers, in any order
+    votes = at.groupBy("host", "node").agg(F.count("rate").alias("votes"), F.coalesce(F.sum(F.round(F.col("rate") * 1e9).cast("long")), F.lit(0)).alias("sum"))
+    path = at.join(votes, ["host", "node"]).groupBy("host", "leaf").agg(F.sort_array(F.collect_list(F.struct("node.depth", "votes", "sum"))).alias("path"))
+    down = F.aggregate("path", F.lit(PRIOR), lambda rate, n: (n["sum"] / 1e9 + STRENGTH * rate) / (n.votes + STRENGTH))
+    return path.select("host", "leaf", down.alias("prior"))
+
+
 def judge(pages: DataFrame, rules: list[Rule], *, url: str = "url", labels: DataFrame | None = None) -> DataFrame:
     """pages with host, path, rule, template, purity and verdict in place of such columns.
 
