@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from .formats import render
+from .plans.parser import parse
 from .session import ErrorResult, Session
 from .sources.hprof import ingest
 
@@ -28,6 +29,30 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     return parser.parse_args(argv)
 
 
+def completed(line: str, word: str) -> list[str]:
+    """What may follow a line, or complete its last word."""
+    parsed = parse(line)
+    more = getattr(parsed, "completions", ())
+    if not more and word:
+        more = getattr(parse(line[: len(line) - len(word)]), "completions", ())
+    return sorted(m for m in more if m.upper().startswith(word.upper()))
+
+
+def offer_completions() -> None:
+    """Tab completes in sessions, where the terminal's library is there."""
+    try:
+        import readline
+    except ImportError:
+        return
+
+    def complete(word: str, state: int) -> str | None:
+        found = completed(readline.get_line_buffer()[: readline.get_endidx()], word)
+        return f"{found[state]} " if state < len(found) else None
+
+    readline.set_completer(complete)
+    readline.parse_and_bind("tab: complete")
+
+
 def main(argv: list[str] | None = None) -> int:
     args = arguments(argv)
     spark = SparkSession.builder.appName("graphlens").getOrCreate()
@@ -38,11 +63,12 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "unpack":
         print(folder)
         return 0
-    session = Session(heap, str(Path(folder) / "session"))
+    session = Session(heap, f"{folder}/session")
     if args.command == "query":
         result = session.execute(" ".join(args.text))
         print(render(result, args.output))
         return int(isinstance(result, ErrorResult))
+    offer_completions()
     while True:
         try:
             line = input(f"{Path(args.dump).name} {session.prompt} ")

@@ -153,19 +153,33 @@ def inspect(heap: GraphHeap, target: int) -> DataFrame:
 def element_text(raw: str, elem_type: int) -> Column:
     """A big-endian element for display."""
     if elem_type in (6, 7):
-        from pyspark.sql.types import StringType
-
-        import struct
-
-        form = ">f" if elem_type == 6 else ">d"
-        return F.udf(lambda b: str(struct.unpack(form, bytes(b))[0]), StringType())(raw)  # at most SHOWN_ELEMENTS values
+        return floating(raw, elem_type).cast("string")
     size = TYPE_SIZES[elem_type]
     number = F.conv(F.hex(raw), 16, 10).cast("decimal(20,0)")
     if elem_type in (8, 9, 10, 11):
-        number = F.when(number >= 2 ** (8 * size - 1), number - 2 ** (8 * size)).otherwise(number)
+        number = F.when(number >= whole(8 * size - 1), number - whole(8 * size)).otherwise(number)
     return primitive_text(F.lit(elem_type), number.cast("long"), F.lit(None).cast("double"))
 
 
+def whole(power: int) -> Column:
+    """A power of two beyond the range of a long."""
+    return F.lit(str(2**power)).cast("decimal(20,0)")
+
+
+def floating(raw: str, elem_type: int) -> Column:
+    """The number of a big-endian IEEE 754 element, from its sign, exponent and fraction."""
+    bits, wide, kind = (32, 23, "float") if elem_type == 6 else (64, 52, "double")
+    number = F.conv(F.hex(raw), 16, 10).cast("decimal(20,0)")
+    signed = F.when(number >= whole(bits - 1), number - whole(bits)).otherwise(number).cast("long")
+    top = (1 << (bits - 1 - wide)) - 1
+    exponent, fraction = F.shiftright(signed, wide).bitwiseAND(F.lit(top)), signed.bitwiseAND(F.lit((1 << wide) - 1)).cast("double")
+    # powers of two are exact; the smallest exponent stands for numbers without a leading one
+    scale = F.pow(F.lit(2.0), (F.greatest(exponent, F.lit(1)) - top // 2).cast("double"))
+    size = scale * (F.when(exponent > 0, 1.0).otherwise(0.0) + fraction / float(1 << wide))
+    size = F.when(exponent == top, F.when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))).otherwise(size)
+    return F.when(signed < 0, -size).otherwise(size).cast(kind)
+
+
 def read(heap: GraphHeap, target: int) -> DataFrame:
     """The whole text of a string, byte[] or char[], or what it is instead; one row, none for no object."""
     own = heap.objects.filter(F.col("id") == target).select("id", "kind", "elem_type")

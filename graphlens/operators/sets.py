@@ -15,7 +15,7 @@ from .dominators import reached_from
 #: Rounds of frontier joins after which reachability goes to the single-task kernel.
 MAX_ROUNDS = 30
 #: Disjoint intervals up to which RETAINED BY is a broadcast range join.
-FEW_INTERVALS = 10_000
+FEW_INTERVALS = 64
 # fixed values: names of built-in sets and the classes they hold
 CLASS_SETS = {
     "Threads": "java.lang.Thread", "ClassLoaders": "java.lang.ClassLoader", "SoftReferences": "java.lang.ref.SoftReference",
@@ -137,16 +137,16 @@ def unfollow(heap: GraphHeap, ids: DataFrame, label: str, owners: DataFrame) ->
 def closure(heap: GraphHeap, seeds: DataFrame) -> DataFrame:
     """Everything reached from the seeds, seeds included.
 
-    Each round joins the frontier with the references; its result is written, so rounds are not
-    run again. A graph that is deeper than MAX_ROUNDS goes on in the kernel.
+    Each round joins the frontier with the references and leaves out what earlier rounds have
+    written; it writes only what is new, so rounds are not run again. A graph that is deeper than MAX_ROUNDS goes on in the kernel.
     """
     seen = front = stored(within(heap.ids(), seeds), "reached")
     for _ in range(MAX_ROUNDS):
         hop = heap.edges.join(front.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        front = stored(hop.join(seen, "id", "left_anti"), "frontier")
+        front = stored(hop.join(seen, "id", "left_anti"), "reached")
         if front.isEmpty():
             return seen
-        seen = stored(seen.union(front), "reached")
+        seen = seen.union(front)
     return reached_from(heap, seen)
 
 

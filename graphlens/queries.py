@@ -94,7 +94,7 @@ def pipeline(text: str) -> Callable[[SparkSession, str], DataFrame]:
         if t.kind in ("sum", "max"):
             return reports.aggregate(heap, ids, t.kind, t.by)
         if t.kind == "group":
-            return reports.by_class(heap, ids, t.n)
+            return reports.by_class(heap, ids, t.n or None)
         if t.kind == "sample":
             return reports.sample(heap, ids, t.n)
         return reports.top(heap, ids, t.n, t.by, smallest=t.kind == "bottom")

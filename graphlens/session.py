@@ -1,17 +1,16 @@
 """Sessions: commands in, results out, with history, named sets, undo and SQL.
 
-Result sets are Parquet tables in the session's folder; the log is a small JSON-lines file on
-the driver, so names, history and saved sets survive a restart. THAT is replayed from the log.
+Result sets are Parquet tables in the session's folder, and so is the log, a small JSON file: the
+folder may be on any file system that Spark knows. Names, history and saved sets survive a
+restart; a THAT that was not saved is replayed from its commands.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import re
 import time
 from dataclasses import asdict, dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from .operators import reports
 from .plans import lower
 from .plans.ast import Command, Complete, Incomplete, Invalid, Pipeline
 from .plans.parser import parse
+from .storage import read_text, write_text
 
 SHOWN_ROWS = 10
 _SQL = re.compile(r"(select|with)\b", re.IGNORECASE)
@@ -73,27 +73,26 @@ class Entry:
 class Session:
     def __init__(self, heap: GraphHeap, folder: str):
         self.heap, self.spark = heap, heap.spark
-        self.folder = Path(folder)
-        self.folder.mkdir(parents=True, exist_ok=True)
-        self.log = self.folder / "session.json"
+        self.folder = str(folder).rstrip("/")
+        self.log = f"{self.folder}/session.json"
         self.history: list[Entry] = []
         self.bindings: dict[str, int] = {}
         self.that: int | None = None
         self._live: dict[int, DataFrame] = {}
-        if self.log.exists():
-            state = json.loads(self.log.read_text())
+        if (found := read_text(self.spark, self.log)) is not None:
+            state = json.loads(found)
             self.history = [Entry(**e) for e in state["history"]]
             self.bindings = state["names"]
-            self.that = state["that"] if state["that"] and self._entry(state["that"]).set_path else None
+            self.that = state["that"]
+            if (entry := self._entry(self.that)) and not entry.set_path and not entry.table_path:
+                self._live[entry.id] = self._replayed(entry)
         self._views()
 
     # state
 
     def _save(self) -> None:
         state = {"history": [asdict(e) for e in self.history], "names": self.bindings, "that": self.that}
-        fresh = self.log.with_suffix(".new")
-        fresh.write_text(json.dumps(state))
-        os.replace(fresh, self.log)
+        write_text(self.spark, self.log, json.dumps(state))
 
     def _views(self) -> None:
         """Base tables, named sets, history and names as views for SQL."""
@@ -122,6 +121,19 @@ class Session:
         self.history.append(entry)
         return entry
 
+    def _replayed(self, entry: Entry) -> DataFrame:
+        """The set of an entry that was not kept, from its command; its THAT is the entry's first input."""
+        parsed = parse(entry.command)
+        assert isinstance(parsed, Complete) and isinstance(parsed.query, Pipeline)
+        ids = lower.id_set(self.heap, parsed.query, lambda name: self._kept(self._entry(entry.input1)) if name == "THAT" else self.resolve(name))
+        t = parsed.query.terminal
+        return reports.top(self.heap, ids, t.n, t.by, smallest=t.kind == "bottom").select("id") if t.kind in ("top", "bottom") else ids
+
+    def _kept(self, entry: Entry | None) -> DataFrame:
+        if entry is None:
+            raise lower.Unresolved("THAT is empty")
+        return self.spark.read.parquet(entry.set_path) if entry.set_path else self._replayed(entry)
+
     def _persist(self, n: int) -> None:
         """Write a set once, when it gets a name."""
         entry = self._entry(n)
@@ -183,13 +195,13 @@ class Session:
     def _pipeline(self, text: str, plan: Pipeline) -> Result:
         ids = lower.id_set(self.heap, plan, self.resolve)
         t = plan.terminal
-        entry = self._record(text)
+        entry = self._record(text, input1=self.that)
         if t.kind == "count":
             return ScalarResult(reports.count(ids))
         if t.kind in ("sum", "max"):
             return ScalarResult(reports.aggregate(self.heap, ids, t.kind, t.by))
         if t.kind == "group":
-            return ScalarResult(reports.by_class(self.heap, ids, t.n))
+            return ScalarResult(reports.by_class(self.heap, ids, t.n or None))
         if t.kind == "sample":
             rows = reports.sample(self.heap, ids, t.n)
         else:

@@ -1,10 +1,11 @@
 """Heap dumps (HPROF 1.0.1 / 1.0.2, 4- or 8-byte ids; plain, gzip or zip) as typed tables.
 
-Two passes over the records. The first, on the driver, skips what instances and arrays hold: it
-collects strings, classes and where each heap segment lies. The second runs one task for each
-piece of a segment list: tasks read their segments, emit rows of one wide staging table as Arrow
-batches, and Spark splits it into the tables of a GraphHeap by joins on raw ids. Compressed
-dumps cannot be read from the middle and are one piece.
+The driver reads the outermost records alone and seeks over what heap records hold: it collects
+names and where each heap record lies. Tasks, one for each piece of the list of heap records, then
+find the class dumps, and in a second pass emit rows of one wide staging table as Arrow batches;
+Spark splits it into the tables of a GraphHeap by joins on raw ids. A heap record is read by one
+task. Compressed dumps cannot be read from the middle: they are one piece, and the driver reads
+them whole.
 
 The path must be readable by all executors as a file.
 """
@@ -15,9 +16,11 @@ import gzip
 import hashlib
 import io
 import json
+import os
+import pickle
 import struct
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import BinaryIO
 
@@ -40,6 +43,8 @@ LAYOUT = {4: "b", 5: "H", 6: "f", 7: "d", 8: "b", 9: "h", 10: "i", 11: "q"}
 ARRAY_HEADER = 16
 #: Bytes of heap segments that one task reads, about.
 PIECE_BYTES = 64 << 20
+#: Bytes from which a payload is passed over by seeking.
+SEEK_BYTES = 1 << 12
 #: Rows of an Arrow batch.
 BATCH_ROWS = 20_000
 FORMAT = 3
@@ -103,8 +108,9 @@ class Outline:
 class Reader:
     """Numbers and ids from a stream."""
 
-    def __init__(self, stream: BinaryIO, id_size: int = 4):
-        self.stream, self.at = stream, 0
+    def __init__(self, stream: BinaryIO, id_size: int = 4, size: int | None = None):
+        """size: of a stream that can be read from the middle."""
+        self.stream, self.at, self.size = stream, 0, size
         self.use(id_size)
 
     def use(self, id_size: int) -> None:
@@ -120,6 +126,12 @@ class Reader:
         return data
 
     def skip(self, n: int) -> None:
+        if self.size is not None and n > SEEK_BYTES:
+            if self.at + n > self.size:
+                raise BadDump("the dump ends in the middle of a record")
+            self.stream.seek(n, io.SEEK_CUR)
+            self.at += n
+            return
         while n > 0:
             n -= len(self.take(min(n, 1 << 20)))
 
@@ -148,9 +160,10 @@ def header(reader: Reader) -> int:
     return int.from_bytes(reader.take(8))
 
 
-def outline(path: str) -> Outline:
-    stream, _ = opened(path)
-    reader = Reader(io.BufferedReader(stream, 1 << 20))
+def outline(path: str, classes: bool = True) -> Outline:
+    """Names and places of the heap records; with classes, also the class dumps inside these records."""
+    stream, seekable = opened(path)
+    reader = Reader(io.BufferedReader(stream, 1 << 20), size=os.path.getsize(path) if seekable else None)
     millis = header(reader)
     out = Outline(reader.id_size, millis)
     while tag := reader.stream.read(1):
@@ -167,16 +180,69 @@ def outline(path: str) -> Outline:
             out.names[raw] = reader.raw()
         elif tag[0] in (HEAP_DUMP, HEAP_SEGMENT):
             out.segments.append((reader.at, length))
-            for kind, _ in sub_records(reader, reader.at + length, only_classes=True):
-                out.classes[kind.raw] = kind
+            if classes:
+                for kind, _ in sub_records(reader, reader.at + length, only_classes=True):
+                    out.classes[kind.raw] = kind
+            else:
+                reader.skip(length)
         else:
             reader.skip(length)
-    used = set(out.names.values()) | {n for c in out.classes.values() for n, _ in c.fields} | {n for c in out.classes.values() for _, n, _ in c.refs}
-    out.strings = {k: v for k, v in out.strings.items() if k in used}
     stream.close()
+    if classes:
+        named(out)
     return out
 
 
+def named(out: Outline) -> None:
+    """Keep only the names that classes and their fields use."""
+    used = set(out.names.values()) | {n for c in out.classes.values() for n, _ in c.fields} | {n for c in out.classes.values() for _, n, _ in c.refs}
+    out.strings = {k: v for k, v in out.strings.items() if k in used}
+
+
+def read_pieces(spark: SparkSession, path: str, out: Outline, read: Callable[[Reader, int, int], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """What read(reader, heap record, its end) gives for every heap record: one task for each piece of them."""
+    _, seekable = opened(path)
+    pieces, size = [[]], 0
+    for k, (at, length) in enumerate(out.segments):
+        if seekable and size > PIECE_BYTES:
+            pieces.append([])
+            size = 0
+        pieces[-1].append((k, at, length))
+        size += length
+    id_size = out.id_size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in batch.column("piece").to_pylist():
+                stream, can_seek = opened(path)
+                reader = Reader(io.BufferedReader(stream, 1 << 20), id_size, os.path.getsize(path) if can_seek else None)
+                for k, at, length in json.loads(own):
+                    if can_seek:
+                        reader.stream.seek(at)
+                        reader.at = at
+                    else:
+                        reader.skip(at - reader.at)
+                    yield from read(reader, k, at + length)
+                stream.close()
+
+    rows = spark.createDataFrame([(json.dumps(p),) for p in pieces], "piece string").repartition(len(pieces))
+    return rows.mapInArrow(run, schema)
+
+
+def described(spark: SparkSession, path: str, out: Outline) -> None:
+    """Fill in the class dumps, found by tasks that read the heap records: as many as the program has classes."""
+
+    def read(reader: Reader, k: int, end: int) -> Iterator[pa.RecordBatch]:
+        found = [pickle.dumps(kind) for kind, _ in sub_records(reader, end, only_classes=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int32()), pa.array(found, pa.binary())], ["k", "shape"])
+
+    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("shape", T.BinaryType())])
+    for row in sorted(read_pieces(spark, path, out, read, schema).collect(), key=lambda r: r.k):
+        kind = pickle.loads(row.shape)
+        out.classes[kind.raw] = kind
+    named(out)
+
+
 def sub_records(reader: Reader, end: int, only_classes: bool = False) -> Iterator[tuple]:
     """Sub-records of a heap record: (tag, values), or (ClassShape, None) for classes."""
     while reader.at < end:
@@ -317,33 +383,9 @@ def emit(out: Outline, reader: Reader, segment: int, end: int) -> Iterator[pa.Re
 
 
 def staged(spark: SparkSession, path: str, out: Outline) -> DataFrame:
-    """The staging table: one task for each piece of heap records."""
-    _, seekable = opened(path)
-    pieces, size = [[]], 0
-    for k, (at, length) in enumerate(out.segments):
-        if seekable and size > PIECE_BYTES:
-            pieces.append([])
-            size = 0
-        pieces[-1].append((k, at, length))
-        size += length
+    """The staging table."""
     shared = spark.sparkContext.broadcast(out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for own in batch.column("piece").to_pylist():
-                stream, can_seek = opened(path)
-                reader = Reader(io.BufferedReader(stream, 1 << 20), shared.value.id_size)
-                for k, at, length in json.loads(own):
-                    if can_seek:
-                        reader.stream.seek(at)
-                        reader.at = at
-                    else:
-                        reader.skip(at - reader.at)
-                    yield from emit(shared.value, reader, k, at + length)
-                stream.close()
-
-    rows = spark.createDataFrame([(json.dumps(p),) for p in pieces], "piece string").repartition(len(pieces))
-    return rows.mapInArrow(run, STAGING)
+    return read_pieces(spark, path, out, lambda reader, k, end: emit(shared.value, reader, k, end), STAGING)
 
 
 def ingest(spark: SparkSession, path: str, folder: str) -> GraphHeap:
@@ -355,7 +397,10 @@ def ingest(spark: SparkSession, path: str, folder: str) -> GraphHeap:
     """
     print_of = fingerprint(path)
     if manifest(spark, folder) != print_of:
-        out = outline(path)
+        _, seekable = opened(path)
+        out = outline(path, classes=not seekable)
+        if seekable:
+            described(spark, path, out)
         rows = staged(spark, path, out)
         rows.write.mode("overwrite").parquet(f"{folder}/staging")
         build(spark, spark.read.schema(STAGING).parquet(f"{folder}/staging"), out, folder)
