@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_batches, coded, rows_of, texts, words_of
+from .shared import bounded_batches, coded, discard, rows_of, stored, texts, words_of
 
 #: Log-probability that one change of language costs.
 SWITCH = 8.0
@@ -28,7 +28,7 @@ MAX_WORDS = 80_000
 #: Hash slots of the character models.
 SLOTS = 1 << 16
 #: Words whose scores a Python worker remembers before it starts anew.
-WORDS_KEPT = 250_000
+WORDS_KEPT = 150_000
 #: Weights of words are summed as whole numbers of this fraction: the order of the sum does not matter.
 UNIT = 1 << 20
 #: A script belongs to a language if it holds this share of its training letters.
@@ -88,11 +88,12 @@ class Spelling:
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, np.ndarray]  # counts by language
+    words: dict[str, int]  # rows of counts
     totals: np.ndarray
     grams: list[np.ndarray]  # slots x languages, of three, two and one characters
     contexts: list[np.ndarray]
     scripts: np.ndarray  # languages x scripts
+    counts: np.ndarray | None = None  # words x languages
 
 
 def sampled(docs: DataFrame, text: Column, lang: Column, max_rows: int) -> DataFrame:
@@ -130,7 +131,8 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", max_rows: in
 
     bounded_batches(docs.sparkSession)
     sample = sampled(docs, docs[f"`{text}`"], docs[f"`{lang}`"], max_rows)
-    counted = sample.mapInArrow(count, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+    counted = sample.mapInArrow(count, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = stored(counted, "language-words")
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     rows = counted.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= max_words).select("lang", "word", "n").toArrow()
     parts = T.StructType([T.StructField("lang", T.StringType()), T.StructField("kind", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("n", T.LongType())])
@@ -150,17 +152,15 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", max_rows: in
                     yield pa.RecordBatch.from_arrays([pa.array([tag] * len(at), pa.string()), pa.array([kind] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(n)], [f.name for f in parts.fields])
 
     spelt = counted.mapInArrow(spell, parts).groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n")).toArrow()
-    counted.unpersist()
+    discard(counted)
     languages = sorted(r.lang for r in sample.select("lang").distinct().collect())
     place = {name: i for i, name in enumerate(languages)}
     width = len(languages)
-    known: dict[str, np.ndarray] = {}
-    totals = np.zeros(width)
-    for tag, word, n in zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
-        if word not in known:
-            known[word] = np.zeros(width, np.float32)
-        known[word][place[tag]] += n
-        totals[place[tag]] += n
+    known: dict[str, int] = {}
+    at = np.fromiter((known.setdefault(w, len(known)) for w in rows.column("word").to_pylist()), np.int64, rows.num_rows)
+    counts = np.zeros((len(known), width), np.float32)
+    np.add.at(counts, (at, np.fromiter((place[x] for x in rows.column("lang").to_pylist()), np.int64, rows.num_rows)), np.asarray(rows.column("n")))
+    totals = counts.sum(0, dtype=np.float64)
     own = np.fromiter((place[x] for x in spelt.column("lang").to_pylist()), np.int64, spelt.num_rows)
     kind, slot, n = (np.asarray(spelt.column(c)) for c in ("kind", "slot", "n"))
     tables = []
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", max_rows: in
     letters = tables[5].T
     scripts = letters / np.maximum(1e-9, letters.sum(1, keepdims=True)) >= SCRIPT_SHARE
     tables = [t.astype(np.float32) for t in tables]
-    return Model(languages, known, totals, tables[:3], tables[3:5], scripts)
+    return Model(languages, known, totals, tables[:3], tables[3:5], scripts, counts)
 
 
 class Identifier:
@@ -198,7 +198,10 @@ class Identifier:
             chars += MIXTURE[i] * np.minimum(1, self.over(m.grams[i][s.grams[i]], m.contexts[i][s.contexts[i]]))
         logs = np.zeros((len(words), self.width))
         np.add.at(logs, s.row, np.log(chars))
-        own = np.stack([m.words.get(w, np.zeros(self.width, np.float32)) for w in words]).astype(np.float64) / np.maximum(1, m.totals)
+        at = np.fromiter((m.words.get(w, -1) for w in words), np.int64, len(words))
+        own = np.zeros((len(words), self.width))
+        if (at >= 0).any():
+            own[at >= 0] = m.counts[at[at >= 0]] / np.maximum(1, m.totals)
         out = np.logaddexp(logs + np.log(0.5), np.log(0.5 * own + 1e-300))
         # candidates by script: the languages that use the script of most letters
         codes, rows = s.scripts(), s.row

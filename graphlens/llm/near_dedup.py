@@ -11,11 +11,11 @@ Documents with equal shingle sets are one node from the start. Nodes that share
 compared star-wise: every bucket takes a pivot that all its members of other components are
 compared with, verified links join components, and buckets within one component are done. Of
 what is left, buckets of at most SMALL members compare all of them. The nodes of larger ones
-are joined by exact prefixes instead: shingles are ordered by how many of these nodes have them,
-rarest first, and two sets can reach the similarity only if they share a shingle among the first
+are joined by exact prefixes instead: shingles are ordered by how often they (their hash slots)
+occur in these nodes, rarest first, and two sets can reach the similarity only if they share a shingle among the first
 of each, as many as their sizes leave room for. Copies of one template that are no near copies
 differ in their rare shingles and so do not meet again; what meets are real candidates, again
-star-wise, with four times as many pivots each round. No pair is verified twice, every pair of
+star-wise, with eight times as many pivots each round. No pair is verified twice, every pair of
 a bucket is verified unless it is already connected, and no bucket gathers in a task.
 
 Pairs whose signatures agree in too few coordinates (8 standard deviations below the expectation
@@ -47,6 +47,8 @@ SEED = 20240917
 SMALL = 16
 #: Rows of a round that one task handles, and pairs with the sets of both sides.
 ROWS_PER_TASK, SETS_PER_TASK = 20_000, 2_000
+#: Hash slots in which occurrences of shingles are counted, to tell rare ones.
+SLOTS = 1 << 21
 #: Rows up to which a side is broadcast, for keys of a few bytes.
 BROADCAST_ROWS = 200_000
 
@@ -226,35 +228,54 @@ def tasks(rows: int, each: int = ROWS_PER_TASK) -> int:
     return 4 + rows // each
 
 
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each of SLOTS hash slots occur in the sets."""
+    slots = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column("shingles"):
+                total[np.frombuffer(x.as_buffer(), np.uint64) & np.uint64(SLOTS - 1)] += 1
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["slot", "n"])
+
+    found = sets.mapInArrow(run, slots).groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    out = np.zeros(SLOTS, np.int64)
+    out[np.asarray(found.column("slot"))] = np.asarray(found.column("n"))
+    return out
+
+
 def prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(key, node, n, reach): the shingles by which nodes (node, n) can meet a near copy among them.
 
-    reach is the size of the largest partner that the shingle can be needed for: o shared of n and
-    m shingles are similar enough if (100 + percent) * o >= percent * (n + m), and then the first
-    shared one has at least o - 1 behind it in either order.
+    Any order of the shingles will do, and the rarest first leaves the fewest pairs. reach is the
+    size of the largest partner that the shingle can be needed for: o shared of n and m shingles
+    are similar enough if (100 + percent) * o >= percent * (n + m), and then the first shared one
+    has at least o - 1 behind it in either order.
     """
-    tokens = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("key", T.LongType())])
+    own = sets.join(nodes, "node").select("node", "n", "shingles")
+    shared = sets.sparkSession.sparkContext.broadcast(rarity(own))  # SLOTS numbers
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("reach", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
         for batch in batches:
-            own = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
-            at = np.repeat(np.arange(len(own)), [len(x) for x in own])
-            keys = np.concatenate([np.zeros(0, np.int64), *own])
-            for i in range(0, len(at), 100_000):
-                some = pa.array(at[i : i + 100_000])
-                yield pa.RecordBatch.from_arrays([batch.column("node").take(some), batch.column("n").take(some), pa.array(keys[i : i + 100_000])], ["node", "n", "key"])
-
-    rows = stored(sets.join(nodes, "node").select("node", "n", "shingles").mapInArrow(run, tokens), "near-shingles")
-    common = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rarity")).filter("rarity > 1")
-    # a shingle of one node alone comes first and meets nothing
-    ranked = rows.join(common, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("rarity", "key"))).alias("keys"))
-    first = F.col("n") - F.size("keys")
-    reach = lambda i: F.floor((F.col("n") - first - i) * (100 + percent) / percent).cast("long") - F.col("n")
-    found = F.transform("keys", lambda k, i: F.struct(k.key.alias("key"), reach(i).alias("reach")))
-    found = F.filter(found, lambda x: 100 * x.reach >= percent * F.col("n"))
-    out = stored(ranked.select("node", "n", F.explode(found).alias("x")).select("x.key", "node", "n", "x.reach"), "near-prefixes")
-    discard(rows)
-    return out
+            owner, keys, reaches = [], [], []
+            for i, x in enumerate(batch.column("shingles")):
+                found = np.frombuffer(x.as_buffer(), np.uint64)
+                often = counts[found & np.uint64(SLOTS - 1)]
+                n, place = len(found), np.arange(len(found))
+                order = np.lexsort((found, often))
+                reach = (n - place) * (100 + percent) // percent - n
+                # a shingle that no other node has meets nothing
+                kept = (100 * reach >= percent * n) & (often[order] > 1)
+                owner.append(np.full(int(kept.sum()), i)), keys.append(found[order[kept]].view(np.int64)), reaches.append(reach[kept])
+            rows = pa.array(np.concatenate([np.zeros(0, np.int64), *owner]))
+            every = (pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (keys, reaches))
+            yield pa.RecordBatch.from_arrays([next(every), batch.column("node").take(rows), batch.column("n").take(rows), next(every)], ["key", "node", "n", "reach"])
+
+    return stored(own.mapInArrow(run, schema), "near-prefixes")
 
 
 class Components:
@@ -349,7 +370,7 @@ class Components:
             self.verify(self.pairs(small, small, True).union(star), left * max(pivots, SMALL // 4))
             old, members = members, stored(large.join(chosen.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n", "reach"), "near-members")
             discard(placed, chosen, old)
-            pivots *= 4
+            pivots *= 8
 
 
 def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

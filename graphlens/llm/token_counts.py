@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_batches, coded, rows_of, shared_path, split, sums, texts
+from .shared import bounded_batches, coded, rows_of, shared_path, split, stored, sums, texts
 
 #: Distinct words whose counts a Python worker remembers before it starts anew.
 WORDS_KEPT = 150_000
@@ -150,12 +150,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, cache: str | None = None, t
     table gives an empty result; all other columns stay as they are.
     """
     spark = docs.sparkSession
-    cache = cache or shared_path(spark, "token-counts")
+    own, cache = cache is None, cache or shared_path(spark, "token-counts")
     fill_cache(docs, tokenizer, cache, text)
-    counts = (
-        read_cache(spark, cache).filter(F.col("tokenizer_digest") == tokenizer_digest(tokenizer))
-        .groupBy(F.col("content_digest").alias("__digest")).agg(F.max("n_tokens").alias("__n"))
-    )
+    counts = read_cache(spark, cache).filter(F.col("tokenizer_digest") == tokenizer_digest(tokenizer)).select(F.col("content_digest").alias("__digest"), F.col("n_tokens").alias("__n"))
+    if not own:  # others may append to it: a digest may come twice
+        counts = stored(counts.groupBy("__digest").agg(F.max("__n").alias("__n")), "known-counts")
+    # both sides are plain rows, so a digest that many rows have is split at run time
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
     rows = docs.select(
         *kept, F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"), digest(F.col(text), tokenizer).alias("__digest")
