@@ -207,7 +207,8 @@ def examples_of(docs: DataFrame, labels: DataFrame, doc: str, text: str, toxic:
 def fit(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", toxic: str = "toxic", limit: int = MAX_EXAMPLES) -> Model:
     """Learn from labels (doc, toxic 0 or 1; others are ignored) of docs; frequencies from all docs.
 
-    A doc that is labelled twice is toxic if once. Without any example the model scores 0.
+    doc is an integer column; rows with a null doc are no examples. A doc that is labelled twice is
+    toxic if once. Without any example the model scores 0.
     """
     bounded_batches(docs.sparkSession)
     rows, weight = examples_of(docs, labels, doc, text, toxic, limit)

@@ -61,3 +61,21 @@ def test_stages_keep_the_columns(spark, folder):
         assert stage(spark, docs.limit(0), at).count() == 0
         out = stage(spark, docs, at)
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
+
+
+def test_odd_rows(spark, folder, odd_docs, tmp_path):
+    """Nulls, repeated rows, long texts and columns whose names the stages use themselves."""
+    at, docs, items, _ = folder
+    extra = ["lang_pred", "spans", "n_lines_dropped", "kept", "leaks", "component_id", "score", "n_tokens"]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = rows.unionByName(odd_docs.selectExpr("doc_id + 1000 as doc_id", "text", "lang", "source", "0L as n_chars")).unionByName(rows.filter("doc_id in (5, 6)"))
+    rows = rows.unionByName(rows.filter("doc_id = 7").selectExpr("cast(null as long) as doc_id", "concat(text, ' ko') as text", "lang", "source", "n_chars"))
+    for name in extra:
+        rows = rows.selectExpr("*", f"cast(doc_id as string) as {name}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, at)
+        assert out.columns == rows.columns, name
+        got = [r.doc_id for r in out.collect()]
+        assert got.count(5) == 2 and got.count(6) == 2, name  # repeated rows stay together
+    last = corpus_pipeline.STAGES[-1][1](spark, rows, at)
+    assert last.count() == rows.count()
