@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ HIGH = 1 << 63  # ids of objects have the top bit set
 def write_dump(spark: SparkSession, sf_dir: str, path: str) -> None:
     regions = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name").orderBy("r_regionkey").collect()]
     nations = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()]
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
     d = Dump(8)
     for k, (name, parent, fields) in enumerate(SHAPES, 1):
         d.cls(k, name, fields, sup=parent)
@@ -189,9 +191,9 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         "select id, type, kind, cast(shallow as bigint) as shallow from eight",
     ),
     "d_classes": (
-        table(lambda h: h.classes.filter("class_id > 0").select("class_id", "name", "super_id", "instance_size")),
+        table(lambda h: h.classes.filter("class_id > 0").select("class_id", "name", F.coalesce("super_id", F.lit(0)).alias("super_id"), "instance_size")),
         "select * from (values " + ", ".join(
-            f"({k}::bigint, '{name.replace('/', '.') if name[0] != '[' else 'java.lang.Object[]'}', {parent or 'null'}::bigint, "
+            f"({k}::bigint, '{name.replace('/', '.') if name[0] != '[' else 'java.lang.Object[]'}', {parent}::bigint, "
             f"{16 + sum({'object': 8, 'byte': 1, 'int': 4, 'boolean': 1, 'double': 8}[t] for c in ((k, 10) if parent == 10 else (k, 5) if parent == 5 else (k,)) for _, t in SHAPES[c - 1][2])})"
             for k, (name, parent, _) in enumerate(SHAPES, 1)) + ") t(class_id, name, super_id, instance_size)",
     ),
@@ -200,8 +202,8 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         "select * from (values (0, 'region', 2, 12::bigint), (1, 'nationkey', 10, 12), (2, 'even', 4, 12), (3, 'share', 7, 12), (4, 'name', 2, 10)) t(ordinal, name, type_code, declaring_class_id)",
     ),
     "d_edges": (
-        table(lambda h: h.edges.filter(f"src > {CLASSES}").select("src", "dst", F.when(F.col("kind") != "element", F.col("label")).alias("label"), F.when(F.col("kind") == "element", F.col("slot")).alias("slot"))),
-        "select src, dst, label, slot from refs",
+        table(lambda h: h.edges.filter(f"src > {CLASSES}").select("src", "dst", F.when(F.col("kind") != "element", F.col("label")).alias("label"), F.coalesce("slot", F.lit(-1)).alias("slot"))),
+        "select src, dst, label, coalesce(slot, -1) as slot from refs",
     ),
     "d_class_edges": (
         table(lambda h: h.edges.filter(f"src <= {CLASSES}").select("src", "dst", "label")),
@@ -213,10 +215,10 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         union all select x0 + 1, 5 from spots union all select x0 + 5, 6 from spots union all select x0 + 7, 7 from spots union all select x0 + 6, 255 from spots""",
     ),
     "d_fields": (
-        table(lambda h: h.field_values.filter("class_id = 12").select("id", "name", "type_code", "long_val", "double_val", "ref_id")),
-        """select id, 'nationkey' as name, 10 as type_code, cast(k as bigint) as long_val, cast(null as double) as double_val, cast(null as bigint) as ref_id from nations
-        union all select id, 'even', 4, case when k % 2 = 0 then 1 else 0 end, null, null from nations union all select id, 'share', 7, null, k / 8.0, null from nations
-        union all select id, 'region', 2, null, null, region from nations union all select id, 'name', 2, null, null, id - 1 from nations""",
+        table(lambda h: h.field_values.filter("class_id = 12").select("id", "name", "type_code", F.coalesce("long_val", F.lit(-1)).alias("long_val"), "double_val", F.coalesce("ref_id", F.lit(0)).alias("ref_id"))),
+        """select id, 'nationkey' as name, 10 as type_code, cast(k as bigint) as long_val, cast(null as double) as double_val, cast(0 as bigint) as ref_id from nations
+        union all select id, 'even', 4, case when k % 2 = 0 then 1 else 0 end, null, 0 from nations union all select id, 'share', 7, -1, k / 8.0, 0 from nations
+        union all select id, 'region', 2, -1, null, region from nations union all select id, 'name', 2, -1, null, id - 1 from nations""",
     ),
     "d_strings": (table(lambda h: h.string_values.select("id", "value")), "select b + 2 as id, name as value from names"),
     "d_arrays": (
@@ -256,10 +258,10 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "d_read_chars": (single(reports.read, 8), "select x0 + 9 as id, (select string_agg(name, ' ' order by i) from r) as content from spots"),
     "d_read_other": (on_nation(reports.read, 3), "select n0 + 3 as id, '(not a String or byte[]/char[])' as content from spots"),
     "d_inspect": (
-        on_nation(lambda h, i: reports.inspect(h, i).select("at", "field", "value", "type", "ref", "description"), 3),
+        on_nation(lambda h, i: reports.inspect(h, i).select("at", "field", "value", "type", F.coalesce("ref", F.lit(0)).alias("ref"), "description"), 3),
         """select 0 as at, 'region' as field, cast(null as varchar) as value, 'shop.Region' as type, region as ref, cast(null as varchar) as description from nations where j = 0
-        union all select 1, 'nationkey', cast(k as varchar), 'int', null, null from nations where j = 0 union all select 2, 'even', case when k % 2 = 0 then 'true' else 'false' end, 'boolean', null, null from nations where j = 0
-        union all select 3, 'share', cast(k / 8.0 as varchar), 'double', null, null from nations where j = 0 union all select 4, 'name', null, 'java.lang.String', id - 1, name from nations where j = 0""",
+        union all select 1, 'nationkey', cast(k as varchar), 'int', 0, null from nations where j = 0 union all select 2, 'even', case when k % 2 = 0 then 'true' else 'false' end, 'boolean', 0, null from nations where j = 0
+        union all select 3, 'share', cast(k / 8.0 as varchar), 'double', 0, null from nations where j = 0 union all select 4, 'name', null, 'java.lang.String', id - 1, name from nations where j = 0""",
     ),
     "d_inspect_slots": (
         table(lambda h: reports.inspect(h, h.objects.filter("kind = 'objarray'").agg(F.min("id")).first()[0]).select("at", "field", "type", "ref", "retainedSize")),
