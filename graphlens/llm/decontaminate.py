@@ -162,11 +162,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: st
     before = None
     for block in blocks(rows, block_chars):
         if before is not None:
-            done, shared = stored(out, "leaks"), before
-            if hasattr(read, "stored_at"):
-                discard(read)
-            shared.unpersist()
-            out = done
+            out = stored(out, "leaks")
+            discard(read)
+            before.unpersist()
         read = out
         before = docs.sparkSession.sparkContext.broadcast(block)  # bounded by block_chars
         out = with_block(out, text, before, errors)

@@ -324,7 +324,7 @@ class Components:
         if n:
             links = stored(linked(near, self.sets, self.percent), "near-links", tasks(n, SETS_PER_TASK))
             before, self.labels = self.labels, joined(self.labels, links, tasks(n))
-            discard(links, *([before] if before is not self.labels and hasattr(before, "stored_at") else []))
+            discard(links, *([before] if before is not self.labels else []))
         discard(near)
         self.verified.append(pairs)
 

@@ -50,10 +50,14 @@ def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more: all that was made of them is stored itself."""
+    """Delete stored tables that nothing reads any more: all that was made of them is stored itself.
+
+    Tables that stored() has not made are left alone.
+    """
     for df in tables:
-        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        if path := vars(df).get("stored_at"):  # as an attribute of its own, not a column of that name
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2_000, size: int = 2 * SLICE_BYTES) -> None:
