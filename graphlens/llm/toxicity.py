@@ -262,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str =
     idf = (np.log((1 + n[at < 0].sum()) / (1 + df)) + 1) * boost
 
     vector = T.StructType([
-        T.StructField("doc", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("n", T.ArrayType(T.LongType())),
+        T.StructField("doc", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType())),
     ])
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str =
         for batch in rows_of(batches, "text"):
             owner, term, n = vectors.counts(texts(batch))
             cut = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(cut, pa.array(x, pa.int64())) for x in (term, n)]
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int32))) for x in (term, n)]
             yield pa.RecordBatch.from_arrays([batch.column("doc").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), *lists], [f.name for f in vector.fields])
 
     got = rows.mapInArrow(vectorise, vector).toArrow()  # bounded by limit
@@ -298,7 +298,9 @@ def emphasis(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
 def side_by_side(example: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, terms: int) -> np.ndarray:
     """An order of n examples in which similar ones are near: groups by random projections."""
     rng = np.random.Generator(np.random.PCG64(17))
-    sketch = np.stack([np.bincount(example, value * rng.choice([-1.0, 1.0], terms)[term], n) for _ in range(SKETCH)], 1)
+    sketch = np.empty((n, SKETCH))
+    for i in range(SKETCH):
+        sketch[:, i] = np.bincount(example, value * rng.choice(np.asarray([-1, 1], np.int8), terms)[term], n)
     sketch /= np.maximum(1e-9, np.linalg.norm(sketch, axis=1, keepdims=True))
     centres = sketch[rng.choice(n, min(n, GROUPS), replace=False)]
     for _ in range(10):
@@ -315,29 +317,30 @@ def build(terms: pa.Array | list[str], idf: np.ndarray, rows: list[tuple[int, in
     blank = [(weight[bad] * bad, weight[bad]) for _, bad, own, _ in rows if not len(own)]
     rank = np.zeros(0, np.int64)
     if filled:
-        flat = np.repeat(np.arange(len(filled)), [len(x[2]) for x in filled]), np.concatenate([x[2] for x in filled]), np.concatenate([x[3] for x in filled])
-        rank = side_by_side(*flat, len(filled), len(terms))
+        sizes = [len(x[2]) for x in filled]
+        rank = side_by_side(np.repeat(np.arange(len(filled), dtype=np.int32), sizes), np.concatenate([x[2] for x in filled]), np.concatenate([x[3] for x in filled]), len(filled), len(terms))
         filled = [filled[i] for i in rank]
     labels, weights = np.asarray([x[1] for x in filled], np.float64), np.asarray([weight[x[1]] for x in filled])
     # without an example that has no word: the share of toxic among all
     share = float(weights @ labels / weights.sum()) if filled else 0.25
     base = np.sum([*blank, (2.0 * share, 2.0)], 0)
-    example = np.repeat(np.arange(len(filled)), [len(x[2]) for x in filled])
-    term = np.concatenate([x[2] for x in filled]) if filled else np.zeros(0, np.int64)
+    example = np.repeat(np.arange(len(filled), dtype=np.int32), [len(x[2]) for x in filled])
+    term = np.concatenate([x[2] for x in filled]).astype(np.int32) if filled else np.zeros(0, np.int64)
     value = np.concatenate([x[3] for x in filled]) if filled else np.zeros(0)
     count = np.bincount(term, minlength=len(terms))
     common = np.flatnonzero(count * DENSE > len(filled))
-    dense_row = np.full(len(terms), -1)
+    dense_row = np.full(len(terms), -1, np.int32)
     dense_row[common] = np.arange(len(common))
     dense = np.zeros((len(common), -(-len(filled) // BLOCK_SIZE) * BLOCK_SIZE))
     row = dense_row[term]
     dense[row[row >= 0], example[row >= 0]] = value[row >= 0]
-    term, example, value = term[row < 0], example[row < 0], value[row < 0]
+    rare = row < 0
+    term, example, value = term[rare], example[rare], value[rare]
     order = np.lexsort((example, term))
     term, example, value = term[order], example[order], value[order]
     starts = np.searchsorted(term, np.arange(len(terms) + 1))
     bounded = np.flatnonzero(np.diff(starts) > FEW)
-    bound_row = np.full(len(terms), -1)
+    bound_row = np.full(len(terms), -1, np.int32)
     bound_row[bounded] = np.arange(len(bounded))
     n_blocks, row = dense.shape[1] // BLOCK_SIZE, bound_row[term]
     highest = np.zeros((len(bounded), n_blocks), np.float32)
@@ -347,7 +350,7 @@ def build(terms: pa.Array | list[str], idf: np.ndarray, rows: list[tuple[int, in
     of = np.bincount(row[row >= 0] * n_blocks + block[row >= 0], minlength=len(bounded) * n_blocks).reshape(-1, max(1, n_blocks))
     places = np.concatenate((np.zeros((len(bounded), 1), np.int64), np.cumsum(of, 1)), 1) + starts[bounded][:, None]
     model = Model(
-        pa.array(terms, pa.large_string()) if isinstance(terms, list) else terms, idf, np.asarray([x[0] for x in filled], np.int64), labels, weights, rank, starts, example, value,
+        pa.array(terms, pa.large_string()) if isinstance(terms, list) else terms, idf, np.asarray([x[0] for x in filled], np.int64), labels, weights, rank, starts, example.astype(np.int64), value,
         bound_row, highest, places.astype(np.int32), dense_row, dense, float(base[0] / base[1]),
     )
     votes = []
