@@ -30,6 +30,12 @@ def file_system(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def discard(spark: SparkSession, name: str) -> None:
+    """Delete a folder of the shared one, of tables that were stored there and are not read again."""
+    at, files = file_system(spark, f"{shared_dir(spark)}/{name}")
+    files.delete(at, True)
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small text file; None if there is none. A replacement that did not end is read from its new file."""
     for name in (path, f"{path}.new"):
