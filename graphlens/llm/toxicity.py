@@ -100,7 +100,7 @@ class Model:
         cosine += np.bincount(self.examples[at], self.values[at] * np.repeat(values[row < 0], size), n)
         row, values = row[row >= 0], values[row >= 0]
         bound = cosine.reshape(-1, BLOCK_SIZE).max(1) + (values.astype(np.float32) @ self.highest[row]) * 1.0001
-        todo = bound > 1e-12
+        places, todo = self.places[row], bound > 1e-12
         first = np.zeros(len(bound), bool)
         first[np.argpartition(bound, -min(FIRST, len(bound)))[-FIRST:]] = True
         seen = np.zeros(len(bound), bool)
@@ -112,10 +112,11 @@ class Model:
             # neighbouring blocks are opened together
             edges = np.flatnonzero(np.diff(some, prepend=False, append=False))
             if len(edges):
-                ranges = self.places[row[:, None], edges]
+                ranges = places[:, edges]
                 start, size = ranges[:, ::2].ravel(), (ranges[:, 1::2] - ranges[:, ::2]).ravel()
-                at = gather(start, size)
-                cosine += np.bincount(self.examples[at], self.values[at] * np.repeat(np.repeat(values, len(edges) // 2), size), n)
+                filled = np.flatnonzero(size)
+                at = gather(start[filled], size[filled])
+                cosine += np.bincount(self.examples[at], self.values[at] * np.repeat(values[filled // (len(edges) // 2)], size[filled]), n)
             if without >= 0:
                 cosine[without] = 0
             seen |= some
@@ -167,7 +168,7 @@ class Vectors:
         text = pc.utf8_slice_codeunits(names, 2)
         sizes = np.where(np.asarray(pc.starts_with(names, "w:")), 0, np.asarray(pc.utf8_length(text)))
         #: For words and each length of beginnings the known ones and their terms.
-        self.kinds = [(n, text.filter(pa.array(sizes == n)), np.append(np.flatnonzero(sizes == n), -1)) for n in (0, *PREFIXES)]
+        self.kinds = [(n, text.filter(pa.array(sizes == n)), np.flatnonzero(sizes == n)) for n in (0, *PREFIXES)]
 
     def counts(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, occurrences) of the terms that occur, by row and term."""
@@ -179,12 +180,17 @@ class Vectors:
         keys = []
         for n, known, terms in self.kinds:
             own = pc.utf8_slice_codeunits(distinct, 0, n) if n else distinct
-            place = np.asarray(pc.fill_null(pc.index_in(own, value_set=known), -1))
-            term = np.where(length > n, terms[place], -1)
+            found = own.dictionary_encode()
+            # the texts' own words are fewer than the known ones: these are looked up among them
+            place = np.asarray(pc.fill_null(pc.index_in(known, value_set=found.dictionary), -1))
+            term = np.full(len(found.dictionary), -1)
+            term[place[place >= 0]] = terms[place >= 0]
+            term = np.where(length > n, term[np.asarray(found.indices)], -1)
             each = term[codes] if len(codes) else np.zeros(0, np.int64)
             keys.append((rows * size + each)[each >= 0])
-        found, n = np.unique(np.concatenate(keys), return_counts=True)
-        return found // size, found % size, n
+        found = np.sort(np.concatenate(keys))
+        first = np.flatnonzero(np.diff(found, prepend=-1))
+        return found[first] // size, found[first] % size, np.diff(first, append=len(found))
 
     def unit(self, terms: np.ndarray, n: np.ndarray) -> np.ndarray:
         value = (1 + np.log(n)) * self.idf[terms]

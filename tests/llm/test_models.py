@@ -71,6 +71,17 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, known.filter("toxic = 2"))).collect()} == {0.0}
 
 
+def test_known_terms_are_looked_up_among_the_words_of_a_slice(monkeypatch):
+    """A hash table of all known terms for each slice of texts would cost more than the texts themselves."""
+    tables, index_in = [], toxicity.pc.index_in
+    monkeypatch.setattr(toxicity.pc, "index_in", lambda values, value_set, **more: tables.append(len(value_set)) or index_in(values, value_set=value_set, **more))
+    vectors = toxicity.Vectors([*(f"w:word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)), "p:word", "p:quit", "w:a"])
+    rows, terms, n = vectors.counts(toxicity.pa.array(["wordaa, Wordba wordaa", "", "a quite a", "unknown"], toxicity.pa.large_string()))
+    assert [x.tolist() for x in (rows, terms, n)] == [[0, 0, 0, 2, 2], [0, 1, 500, 501, 502], [2, 1, 3, 1, 2]]
+    assert tables and max(tables) <= 6
+    assert [len(x) for x in vectors.counts(toxicity.pa.array(["", "1 2"], toxicity.pa.large_string()))] == [0, 0, 0]
+
+
 def test_toxicity_of_texts_without_a_toxic_term(spark):
     """A copy of a toxic example whose words are no other's is found by its ordinary words."""
     rng = random.Random(11)
