@@ -136,7 +136,9 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not total:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+    out = np.repeat(starts - (ends - lengths), lengths)
+    out += np.arange(total, dtype=np.int64)
+    return out
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

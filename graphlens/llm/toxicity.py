@@ -9,15 +9,19 @@ index has, for each term, its postings and, if they are more than FEW, the large
 block. Of a text, the few postings of rare terms and a dense matrix of the terms that many examples
 have give a part of the cosine with every example; with the largest weights of the other terms
 they bound the cosine with the examples of a block. The blocks of highest bound are opened first,
-and the others only if their bound reaches the cosine of the nearest examples found so far: the
-nearest examples are exact. Their votes, weighted by distance, are calibrated by isotonic
-regression on left-out examples.
+and the others only if their bound reaches the cosine of the nearest examples found so far. The
+dense matrix is in single precision, which leaves more examples than needed by a relative SLACK;
+of those that are left the dense part is computed again in double precision: the nearest examples
+are exact. Their votes, weighted by distance, are calibrated by isotonic regression on
+left-out examples.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_batches, coded, gather, rows_of, texts, words_of
+from .shared import bounded_batches, buffers, coded, from_buffers, gather, rows_of, texts, words_of
 
 #: Labelled rows of each label that are used as examples, about: chosen by the hash of their id.
 MAX_EXAMPLES = 3_000
@@ -43,6 +47,34 @@ BLOCK_SIZE, FIRST, FEW = 64, 4, 24
 GROUPS, SKETCH = 64, 256
 #: Terms that more than one of so many examples has are rows of the dense matrix.
 DENSE = 12
+#: Relative error that single precision leaves in a cosine, at most: its terms are not negative, and a sum over N of them errs by N * 6e-8.
+SLACK = 3e-4
+#: A posting: the example and its weight, side by side in memory.
+POSTING = np.dtype([("example", np.int64), ("value", np.float64)])
+
+
+@lru_cache(1)
+def letters() -> np.ndarray:
+    """Whether each code point is a letter or a mark, as Arrow's expressions have it."""
+    points = np.concatenate((np.arange(0xD800), np.arange(0xE000, 0x110000)))
+    out = np.zeros(0x110000, bool)
+    out[points] = np.asarray(pc.match_substring_regex(pa.array(list(points.astype("<u4").tobytes().decode("utf-32-le"))), r"^[\p{L}\p{M}]"))
+    return out
+
+
+def filled_words(array: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """words_of without the empty strings; code points are looked up in a table, which takes less than an expression."""
+    offsets, data = buffers(pc.utf8_lower(array))
+    point = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = letters()[point]
+    if len(point) < len(data):
+        inside = np.repeat(inside, 1 + (point >= 0x80).astype(np.int8) + (point >= 0x800) + (point >= 0x10000))
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    row = offsets[:-1][offsets[:-1] < len(data)]
+    first[row] = inside[row]
+    start = np.flatnonzero(first)
+    return from_buffers(np.append(np.cumsum(inside)[start] - 1, inside.sum()), data[inside]), np.searchsorted(start, offsets)
 
 
 def term_codes(distinct: list[str]) -> tuple[list[np.ndarray], list[str]]:
@@ -54,6 +86,13 @@ def term_codes(distinct: list[str]) -> tuple[list[np.ndarray], list[str]]:
     return kinds, list(place)
 
 
+def spelled(words: pa.Array) -> list[str]:
+    """The words, which hold no space: one long text is handed to Python in less time than each word."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words.cast(pa.string())), " ")[0].as_py().split(" ")
+
+
 @dataclass
 class Model:
     terms: pa.Array = field(default_factory=lambda: pa.array([], pa.large_string()))
@@ -63,43 +102,75 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))  # rows of the corpus that an example stands for
     rank: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # for ties: places by id
     starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # postings of each term that has no dense row
-    examples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    values: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    postings: np.ndarray = field(default_factory=lambda: np.zeros(0, POSTING))
     bound_row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each term, -1: none
     highest: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # terms with bounds x blocks, rounded up
     places: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.int32))  # where each block's postings start
     dense_row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each term, -1: none
-    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # terms with a dense row x examples, whole blocks
+    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # terms with a dense row x examples, whole blocks
+    own_starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of each example the terms that have a dense row
+    own_rows: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    own_values: np.ndarray = field(default_factory=lambda: np.zeros(0))
     base: float = 0.0  # share of toxic among examples without a word
     knots: tuple[np.ndarray, np.ndarray] = (np.asarray([0.0, 1.0]), np.asarray([0.0, 1.0]))
     opened: int = 0  # blocks opened and passed over so far
     passed: int = 0
 
+    @cached_property
+    def vectors(self) -> Vectors:
+        return Vectors(self.terms, self.idf)
+
+    def held(self, at: np.ndarray) -> np.ndarray:
+        """Postings at these places: read as numbers of two parts, which takes less than as records."""
+        return self.postings.view(np.complex128)[at].view(POSTING)
+
     def nearest(self, terms: np.ndarray, values: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The examples of highest cosine with a unit vector, and the cosines; ties to the first example."""
         return self.nearest_of([(terms, values)], [without])[0]
 
     def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        common = np.zeros((len(vectors), len(self.dense)))
-        rows = [self.dense_row[terms] for terms, _ in vectors]
-        for own, row, (_, values) in zip(common, rows, vectors, strict=True):
-            own[row[row >= 0]] = values[row >= 0]
-        known = common @ self.dense
-        skip = without or [-1] * len(vectors)
-        return [self.search(cosine, terms[row < 0], values[row < 0], own) for cosine, row, (terms, values), own in zip(known, rows, vectors, skip, strict=True)]
-
-    def search(self, cosine: np.ndarray, terms: np.ndarray, values: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
-        """cosine: with all examples, over common terms; terms and values: the others."""
-        n = len(cosine)
+        k, n = len(vectors), self.dense.shape[1]
         if not n:
-            return np.zeros(0, np.int64), np.zeros(0)
+            return [(np.zeros(0, np.int64), np.zeros(0))] * k
+        owner = np.repeat(np.arange(k), [len(terms) for terms, _ in vectors])
+        terms, values = np.concatenate([x for x, _ in vectors]), np.concatenate([x for _, x in vectors])
+        common = np.zeros((k, len(self.dense)))
+        row = self.dense_row[terms]
+        common[owner[row >= 0], row[row >= 0]] = values[row >= 0]
+        about = common.astype(np.float32) @ self.dense
+        owner, terms, values = owner[row < 0], terms[row < 0], values[row < 0]
         row = self.bound_row[terms]
-        rare = terms[row < 0]
-        size = self.starts[rare + 1] - self.starts[rare]
-        at = gather(self.starts[rare], size)
-        cosine += np.bincount(self.examples[at], self.values[at] * np.repeat(values[row < 0], size), n)
-        row, values = row[row >= 0], values[row >= 0]
-        bound = cosine.reshape(-1, BLOCK_SIZE).max(1) + (values.astype(np.float32) @ self.highest[row]) * 1.0001
+        rare = row < 0
+        size = self.starts[terms[rare] + 1] - self.starts[terms[rare]]
+        found = self.held(gather(self.starts[terms[rare]], size))
+        cosine = about + np.bincount(np.repeat(owner[rare] * n, size) + found["example"], found["value"] * np.repeat(values[rare], size), k * n).reshape(k, n)
+        known = cosine.reshape(k, -1, BLOCK_SIZE).max(2)
+        owner, row, values = owner[~rare], row[~rare], values[~rare]
+        cut = np.searchsorted(owner, np.arange(k + 1)).tolist()
+        out = []
+        for i, skip in enumerate(without or [-1] * k):
+            at = slice(cut[i], cut[i + 1])
+            found = self.search(cosine[i], known[i], row[at], values[at], skip)
+            exact = cosine[i, found] - about[i, found] + self.dense_part(found, common[i])
+            near = np.round(exact, 12)
+            best = np.lexsort((self.rank[found], -near))[:NEIGHBOURS]
+            best = best[near[best] > 1e-12]
+            out.append((found[best], np.minimum(exact[best], 1.0)))
+        return out
+
+    def dense_part(self, found: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Of the cosines with these examples what the terms with a dense row give; wanted: the text's weight of each."""
+        size = self.own_starts[found + 1] - self.own_starts[found]
+        at = gather(self.own_starts[found], size)
+        return np.bincount(np.repeat(np.arange(len(found)), size), self.own_values[at] * wanted[self.own_rows[at]], len(found))
+
+    def search(self, cosine: np.ndarray, known: np.ndarray, row: np.ndarray, values: np.ndarray, without: int) -> np.ndarray:
+        """The nearest examples, and those that may be as near.
+
+        cosine: with all examples, over the terms without bounds; known: the largest of each block; row and values: the other terms.
+        """
+        n = len(cosine)
+        bound = known + (values.astype(np.float32) @ self.highest[row]) * 1.0001
         places, todo = self.places[row], bound > 1e-12
         first = np.zeros(len(bound), bool)
         first[np.argpartition(bound, -min(FIRST, len(bound)))[-FIRST:]] = True
@@ -108,27 +179,28 @@ class Model:
             if seen.any():
                 reached = cosine.reshape(-1, BLOCK_SIZE)[seen].ravel()
                 least = np.partition(reached, -NEIGHBOURS)[-NEIGHBOURS] if len(reached) >= NEIGHBOURS else 0.0
-                some = some & ~seen & (bound >= least - 1e-9)
+                some = some & ~seen & (bound >= least * (1 - SLACK) - 1e-9)
             # neighbouring blocks are opened together
-            edges = np.flatnonzero(np.diff(some, prepend=False, append=False))
+            inside = np.zeros(len(some) + 2, bool)
+            inside[1:-1] = some
+            edges = np.flatnonzero(inside[1:] != inside[:-1])
             if len(edges):
                 ranges = places[:, edges]
                 start, size = ranges[:, ::2].ravel(), (ranges[:, 1::2] - ranges[:, ::2]).ravel()
                 filled = np.flatnonzero(size)
-                at = gather(start[filled], size[filled])
-                cosine += np.bincount(self.examples[at], self.values[at] * np.repeat(values[filled // (len(edges) // 2)], size[filled]), n)
+                size = size[filled]
+                found = self.held(gather(start[filled], size))
+                cosine += np.bincount(found["example"], found["value"] * np.repeat(values[filled // (len(edges) // 2)], size), n)
             if without >= 0:
                 cosine[without] = 0
             seen |= some
         self.opened += int(seen.sum())
         self.passed += int((~seen).sum())
         found = np.flatnonzero(np.repeat(seen, BLOCK_SIZE) & (cosine > 1e-12))
-        near = np.round(cosine[found], 12)
         if len(found) > NEIGHBOURS:
-            top = near >= np.partition(near, -NEIGHBOURS)[-NEIGHBOURS]
-            found, near = found[top], near[top]
-        best = found[np.lexsort((self.rank[found], -near))][:NEIGHBOURS]
-        return best, np.minimum(cosine[best], 1.0)
+            near = cosine[found]
+            found = found[near >= np.partition(near, -NEIGHBOURS)[-NEIGHBOURS] * (1 - SLACK)]
+        return found
 
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
         """Share of toxic votes, weighted by closeness and by the rows that an example stands for."""
@@ -164,33 +236,48 @@ class Vectors:
 
     def __init__(self, terms: pa.Array | list[str], idf: np.ndarray | None = None):
         names = pa.array(terms, pa.large_string()) if isinstance(terms, list) else terms
-        self.size, self.idf = len(names), idf
-        text = pc.utf8_slice_codeunits(names, 2)
-        sizes = np.where(np.asarray(pc.starts_with(names, "w:")), 0, np.asarray(pc.utf8_length(text)))
-        #: For words and each length of beginnings the known ones and their terms.
-        self.kinds = [(n, text.filter(pa.array(sizes == n)), np.flatnonzero(sizes == n)) for n in (0, *PREFIXES)]
+        self.size, self.idf, self.names = len(names), idf, names
+
+    @cached_property
+    def known(self) -> tuple[dict[str, int], np.ndarray, list[tuple[int, pa.Array, np.ndarray]]]:
+        """The row of each known word; rows of its own term and those of its beginnings (-1: none), last one without any; the beginnings by length, and their terms."""
+        text = pc.utf8_slice_codeunits(self.names, 2)
+        sizes = np.where(np.asarray(pc.starts_with(self.names, "w:")), 0, np.asarray(pc.utf8_length(text)))
+        kinds = [(n, text.filter(pa.array(sizes == n)), np.flatnonzero(sizes == n)) for n in PREFIXES]
+        words = spelled(text.filter(pa.array(sizes == 0)))
+        rows = np.full((len(words) + 1, 1 + len(PREFIXES)), -1)
+        rows[:-1, 0] = np.flatnonzero(sizes == 0)
+        for i, (n, begins, terms) in enumerate(kinds, 1):
+            place = dict(zip(spelled(begins), terms.tolist(), strict=True))
+            rows[:-1, i] = [place.get(w[:n], -1) if len(w) > n else -1 for w in words]
+        return {w: i for i, w in enumerate(words)}, rows, kinds
 
     def counts(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, occurrences) of the terms that occur, by row and term."""
-        words, offsets = words_of(array)
+        words, offsets = filled_words(array)
         found = words.dictionary_encode()
         codes, distinct = np.asarray(found.indices), found.dictionary
-        rows = np.repeat(np.arange(len(array)), np.diff(offsets))
-        size, length = max(1, self.size), np.asarray(pc.utf8_length(distinct))
-        keys = []
-        for n, known, terms in self.kinds:
-            own = pc.utf8_slice_codeunits(distinct, 0, n) if n else distinct
-            found = own.dictionary_encode()
+        places, terms_of, kinds = self.known
+        every = spelled(distinct)
+        row = np.fromiter(map(places.get, every, repeat(-1)), np.int64, len(every))
+        term = terms_of[row]
+        other = np.flatnonzero(row < 0)
+        rest = distinct.take(pa.array(other))
+        length = np.asarray(pc.utf8_length(rest))
+        for i, (n, known, terms) in enumerate(kinds, 1):
+            found = pc.utf8_slice_codeunits(rest, 0, n).dictionary_encode()
             # the texts' own words are fewer than the known ones: these are looked up among them
             place = np.asarray(pc.fill_null(pc.index_in(known, value_set=found.dictionary), -1))
-            term = np.full(len(found.dictionary), -1)
-            term[place[place >= 0]] = terms[place >= 0]
-            term = np.where(length > n, term[np.asarray(found.indices)], -1)
-            each = term[codes] if len(codes) else np.zeros(0, np.int64)
-            keys.append((rows * size + each)[each >= 0])
-        found = np.sort(np.concatenate(keys))
-        first = np.flatnonzero(np.diff(found, prepend=-1))
-        return found[first] // size, found[first] % size, np.diff(first, append=len(found))
+            own = np.full(len(found.dictionary), -1)
+            own[place[place >= 0]] = terms[place >= 0]
+            term[other, i] = np.where(length > n, own[np.asarray(found.indices)], -1)
+        size = max(1, self.size)
+        each = term[codes]
+        keys = np.sort((np.repeat(np.arange(len(array)) * size, np.diff(offsets))[:, None] + each)[each >= 0])
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        n, keys = np.diff(first, append=len(keys)), keys[first]
+        rows = np.repeat(np.arange(len(array)), np.diff(np.searchsorted(keys, np.arange(len(array) + 1) * size)))
+        return rows, keys - rows * size, n
 
     def unit(self, terms: np.ndarray, n: np.ndarray) -> np.ndarray:
         value = (1 + np.log(n)) * self.idf[terms]
@@ -247,12 +334,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str =
         return Model()
     terms = names.filter(pa.array(term))
     boost = emphasis(a[term], b[term], n1, n0)
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
+    # a worker keeps what it was sent, and so makes the tables of its words once
+    sent = docs.sparkSession.sparkContext.broadcast(Vectors(terms))
 
     found = T.StructType([T.StructField("term", T.LongType()), T.StructField("n", T.LongType())])
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, rows = Vectors(sent.value), 0
+        vectors, rows = sent.value, 0
         total = np.zeros(vectors.size, np.int64)
         for batch in rows_of(batches, "text"):
             total += np.bincount(vectors.counts(texts(batch))[1], minlength=len(total))
@@ -272,7 +360,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str =
     ])
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = Vectors(sent.value)
+        vectors = sent.value
         for batch in rows_of(batches, "text"):
             owner, term, n = vectors.counts(texts(batch))
             cut = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
@@ -316,6 +404,40 @@ def side_by_side(example: np.ndarray, term: np.ndarray, value: np.ndarray, n: in
     return np.lexsort((sketch @ rng.normal(size=SKETCH), group))
 
 
+def indexed(example: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, n_terms: int) -> dict[str, np.ndarray]:
+    """The index of n examples' weights of terms, which lie example by example: fields of Model."""
+    count = np.bincount(term, minlength=n_terms)
+    common = np.flatnonzero(count * DENSE > n)
+    dense_row = np.full(n_terms, -1, np.int32)
+    dense_row[common] = np.arange(len(common))
+    dense = np.zeros((len(common), -(-n // BLOCK_SIZE) * BLOCK_SIZE), np.float32)
+    row = dense_row[term]
+    held = row >= 0
+    own_rows, own_values = row[held], value[held]
+    own_starts = np.searchsorted(example[held], np.arange(n + 1))
+    dense[own_rows, example[held]] = own_values
+    term, example, value = term[~held], example[~held], value[~held]
+    order = np.lexsort((example, term))
+    term, example, value = term[order], example[order], value[order]
+    starts = np.searchsorted(term, np.arange(n_terms + 1))
+    bounded = np.flatnonzero(np.diff(starts) > FEW)
+    bound_row = np.full(n_terms, -1, np.int32)
+    bound_row[bounded] = np.arange(len(bounded))
+    n_blocks, row = dense.shape[1] // BLOCK_SIZE, bound_row[term]
+    highest = np.zeros((len(bounded), n_blocks), np.float32)
+    block = example // BLOCK_SIZE
+    np.maximum.at(highest, (row[row >= 0], block[row >= 0]), np.nextafter(value[row >= 0].astype(np.float32), np.float32(2)))
+    # term by term and block by block, so the places of all blocks follow each other
+    of = np.bincount(row[row >= 0] * n_blocks + block[row >= 0], minlength=len(bounded) * n_blocks).reshape(-1, max(1, n_blocks))
+    places = np.concatenate((np.zeros((len(bounded), 1), np.int64), np.cumsum(of, 1)), 1) + starts[bounded][:, None]
+    postings = np.empty(len(term), POSTING)
+    postings["example"], postings["value"] = example, value
+    return {
+        "starts": starts, "postings": postings, "bound_row": bound_row, "highest": highest, "places": places.astype(np.int32), "dense_row": dense_row, "dense": dense,
+        "own_starts": own_starts, "own_rows": own_rows, "own_values": own_values,
+    }
+
+
 def build(terms: pa.Array | list[str], idf: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]], weight: dict[int, float]) -> Model:
     """The index of the examples, and the calibration by leaving each out."""
     vectors = Vectors(terms, idf)
@@ -333,31 +455,9 @@ def build(terms: pa.Array | list[str], idf: np.ndarray, rows: list[tuple[int, in
     example = np.repeat(np.arange(len(filled), dtype=np.int32), [len(x[2]) for x in filled])
     term = np.concatenate([x[2] for x in filled]).astype(np.int32) if filled else np.zeros(0, np.int64)
     value = np.concatenate([x[3] for x in filled]) if filled else np.zeros(0)
-    count = np.bincount(term, minlength=len(terms))
-    common = np.flatnonzero(count * DENSE > len(filled))
-    dense_row = np.full(len(terms), -1, np.int32)
-    dense_row[common] = np.arange(len(common))
-    dense = np.zeros((len(common), -(-len(filled) // BLOCK_SIZE) * BLOCK_SIZE))
-    row = dense_row[term]
-    dense[row[row >= 0], example[row >= 0]] = value[row >= 0]
-    rare = row < 0
-    term, example, value = term[rare], example[rare], value[rare]
-    order = np.lexsort((example, term))
-    term, example, value = term[order], example[order], value[order]
-    starts = np.searchsorted(term, np.arange(len(terms) + 1))
-    bounded = np.flatnonzero(np.diff(starts) > FEW)
-    bound_row = np.full(len(terms), -1, np.int32)
-    bound_row[bounded] = np.arange(len(bounded))
-    n_blocks, row = dense.shape[1] // BLOCK_SIZE, bound_row[term]
-    highest = np.zeros((len(bounded), n_blocks), np.float32)
-    block = example // BLOCK_SIZE
-    np.maximum.at(highest, (row[row >= 0], block[row >= 0]), np.nextafter(value[row >= 0].astype(np.float32), np.float32(2)))
-    # term by term and block by block, so the places of all blocks follow each other
-    of = np.bincount(row[row >= 0] * n_blocks + block[row >= 0], minlength=len(bounded) * n_blocks).reshape(-1, max(1, n_blocks))
-    places = np.concatenate((np.zeros((len(bounded), 1), np.int64), np.cumsum(of, 1)), 1) + starts[bounded][:, None]
     model = Model(
-        pa.array(terms, pa.large_string()) if isinstance(terms, list) else terms, idf, np.asarray([x[0] for x in filled], np.int64), labels, weights, rank, starts, example, value,
-        bound_row, highest, places.astype(np.int32), dense_row, dense, float(base[0] / base[1]),
+        pa.array(terms, pa.large_string()) if isinstance(terms, list) else terms, idf, np.asarray([x[0] for x in filled], np.int64), labels, weights, rank,
+        base=float(base[0] / base[1]), **indexed(example, term, value, len(filled), len(terms)),
     )
     votes = []
     for at in range(0, len(filled), TOGETHER):
@@ -391,7 +491,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        vectors = Vectors(m.terms, m.idf)
+        vectors = m.vectors
         none = m.calibrated(m.base) if len(m.terms) else 0.0
         for batch in rows_of(batches, "__text"):
             owner, term, n = vectors.counts(texts(batch, "__text"))
