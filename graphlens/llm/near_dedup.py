@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_batches, buffers, coded, discard, from_buffers, mix64, rows_of, split, stored, texts
+from .shared import bounded_batches, buffers, coded, discard, forget_shuffles, from_buffers, mix64, rows_of, split, stored, texts
 
 BANDS, ROWS = 48, 6
 WIDTH = BANDS * ROWS
@@ -327,6 +327,7 @@ class Components:
             discard(links, *([before] if before is not self.labels else []))
         discard(near)
         self.verified.append(pairs)
+        forget_shuffles(self.docs.sparkSession)
 
     def stars(self, placed: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
         """Pairs of each bucket's pivots with its members, and the pivots."""
@@ -390,14 +391,21 @@ def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
         F.min("doc").alias("id"), F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
     )
     info = stored(info, "near-info")
+    # bands and signatures of all documents go before those of the nodes are spread by their keys
+    thin = stored(rows.select("doc", "n_shingles", "node"), "near-docs")
+    discard(rows)
+    forget_shuffles(docs.sparkSession)
     work = Components(docs, info, text, shingle, percent)
-    placed = info.select("node", "id").join(work.run(), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    ids = stored(info.select("node", "id"), "near-ids")
+    discard(info)
+    forget_shuffles(docs.sparkSession)
+    placed = ids.join(work.run(), "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = stored(placed, "near-placed")
     work.close()
     smallest = placed.groupBy("label").agg(F.min("id").alias("component_id"))
     final = stored(placed.join(smallest, "label").select("node", "component_id"), "near-components")
-    discard(info, placed)
-    out = rows.select("doc", "n_shingles", "node").join(final, "node", "left")
+    discard(ids, placed)
+    out = thin.join(final, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("component_id"))
     return out.select(F.col("doc").alias(doc), "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col(doc) == F.col("component_id"), F.col("component_id").isNull())

@@ -60,6 +60,11 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have the driver's JVM collect: Spark deletes shuffle files only when it finds that no plan refers to them."""
+    spark._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2_000, size: int = 2 * SLICE_BYTES) -> None:
     """Let Spark hand at most so many rows and bytes at once to a Python worker (one row at least).
 
