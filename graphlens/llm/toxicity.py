@@ -9,11 +9,12 @@ index has, for each term, its postings and, if they are more than FEW, the large
 block. Of a text, the few postings of rare terms and a dense matrix of the terms that many examples
 have give a part of the cosine with every example; with the largest weights of the other terms
 they bound the cosine with the examples of a block. The blocks of highest bound are opened first,
-and the others only if their bound reaches the cosine of the nearest examples found so far. The
-dense matrix is in single precision, which leaves more examples than needed by a relative SLACK;
-of those that are left the dense part is computed again in double precision: the nearest examples
-are exact. Their votes, weighted by distance, are calibrated by isotonic regression on
-left-out examples.
+and the others only if their bound reaches the cosine of the nearest examples found so far; if many
+bounds are ALIKE, few blocks could stay closed, and the postings of each term are read in one piece.
+The dense matrix is in single precision, which leaves more examples than needed by a relative SLACK;
+of those that are left the dense part is computed again with what single precision has cut off: the
+nearest examples are exact. Their votes, weighted by distance, are calibrated by isotonic regression
+on left-out examples.
 """
 
 from __future__ import annotations
@@ -40,17 +41,18 @@ MIN_G2, MIN_TOXIC = 25.0, 4
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 #: Texts whose cosines with common terms are computed together.
-TOGETHER = 64
+TOGETHER = 128
 #: Examples of a block, blocks that are opened first, and postings up to which a term has no bounds by block.
 BLOCK_SIZE, FIRST, FEW = 64, 4, 24
+#: All blocks are opened at once if, by so many of a text's heaviest terms, more than this share of the bounds is at least that part of the REFERENCE-th highest,
+#: or if more than this share of the blocks is left to open after the first ones: reading pieces takes less than picking from them.
+HEAVIEST, ALIKE, REFERENCE = 32, (0.35, 0.1), 8
 #: Groups of similar examples that the blocks are cut from, about, and dimensions in which they are formed.
 GROUPS, SKETCH = 64, 256
 #: Terms that more than one of so many examples has are rows of the dense matrix.
 DENSE = 12
 #: Relative error that single precision leaves in a cosine, at most: its terms are not negative, and a sum over N of them errs by N * 6e-8.
 SLACK = 3e-4
-#: A posting: the example and its weight, side by side in memory.
-POSTING = np.dtype([("example", np.int64), ("value", np.float64)])
 
 
 @lru_cache(1)
@@ -102,15 +104,14 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))  # rows of the corpus that an example stands for
     rank: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # for ties: places by id
     starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # postings of each term that has no dense row
-    postings: np.ndarray = field(default_factory=lambda: np.zeros(0, POSTING))
+    examples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint16))  # of each posting, in the fewest bytes
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bound_row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each term, -1: none
     highest: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # terms with bounds x blocks, rounded up
     places: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.int32))  # where each block's postings start
     dense_row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each term, -1: none
     dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # terms with a dense row x examples, whole blocks
-    own_starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of each example the terms that have a dense row
-    own_rows: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    own_values: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    cut_off: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # what single precision leaves out of dense
     base: float = 0.0  # share of toxic among examples without a word
     knots: tuple[np.ndarray, np.ndarray] = (np.asarray([0.0, 1.0]), np.asarray([0.0, 1.0]))
     opened: int = 0  # blocks opened and passed over so far
@@ -120,9 +121,11 @@ class Model:
     def vectors(self) -> Vectors:
         return Vectors(self.terms, self.idf)
 
-    def held(self, at: np.ndarray) -> np.ndarray:
-        """Postings at these places: read as numbers of two parts, which takes less than as records."""
-        return self.postings.view(np.complex128)[at].view(POSTING)
+    @cached_property
+    def pieces(self) -> tuple[list[bytes], list[bytes], np.ndarray]:
+        """Examples and values of the postings of each term with bounds, and their number: joined, they take less time than numbers from many places."""
+        ends = self.places[:, [0, -1]].tolist()
+        return [self.examples[a:b].tobytes() for a, b in ends], [self.values[a:b].tobytes() for a, b in ends], self.places[:, -1] - self.places[:, 0]
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The examples of highest cosine with a unit vector, and the cosines; ties to the first example."""
@@ -142,8 +145,8 @@ class Model:
         row = self.bound_row[terms]
         rare = row < 0
         size = self.starts[terms[rare] + 1] - self.starts[terms[rare]]
-        found = self.held(gather(self.starts[terms[rare]], size))
-        cosine = about + np.bincount(np.repeat(owner[rare] * n, size) + found["example"], found["value"] * np.repeat(values[rare], size), k * n).reshape(k, n)
+        at = gather(self.starts[terms[rare]], size)
+        cosine = about + np.bincount(np.repeat(owner[rare] * n, size) + self.examples[at], self.values[at] * np.repeat(values[rare], size), k * n).reshape(k, n)
         known = cosine.reshape(k, -1, BLOCK_SIZE).max(2)
         owner, row, values = owner[~rare], row[~rare], values[~rare]
         cut = np.searchsorted(owner, np.arange(k + 1)).tolist()
@@ -160,26 +163,28 @@ class Model:
 
     def dense_part(self, found: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """Of the cosines with these examples what the terms with a dense row give; wanted: the text's weight of each."""
-        size = self.own_starts[found + 1] - self.own_starts[found]
-        at = gather(self.own_starts[found], size)
-        return np.bincount(np.repeat(np.arange(len(found)), size), self.own_values[at] * wanted[self.own_rows[at]], len(found))
+        return self.dense.T[found] @ wanted + self.cut_off.T[found] @ wanted
 
     def search(self, cosine: np.ndarray, known: np.ndarray, row: np.ndarray, values: np.ndarray, without: int) -> np.ndarray:
         """The nearest examples, and those that may be as near.
 
         cosine: with all examples, over the terms without bounds; known: the largest of each block; row and values: the other terms.
         """
-        n = len(cosine)
+        n, heavy = len(cosine), np.argpartition(values, -HEAVIEST)[-HEAVIEST:] if len(values) > HEAVIEST else slice(None)
+        bound = known + values[heavy].astype(np.float32) @ self.highest[row[heavy]]
+        if np.count_nonzero(bound >= ALIKE[1] * np.partition(bound, -min(REFERENCE, len(bound)))[-min(REFERENCE, len(bound))]) > ALIKE[0] * len(bound):
+            return self.through(cosine, row, values, without)
         bound = known + (values.astype(np.float32) @ self.highest[row]) * 1.0001
         places, todo = self.places[row], bound > 1e-12
         first = np.zeros(len(bound), bool)
         first[np.argpartition(bound, -min(FIRST, len(bound)))[-FIRST:]] = True
-        seen = np.zeros(len(bound), bool)
+        seen, before = np.zeros(len(bound), bool), cosine.copy()
         for some in (first & todo, todo):
             if seen.any():
-                reached = cosine.reshape(-1, BLOCK_SIZE)[seen].ravel()
-                least = np.partition(reached, -NEIGHBOURS)[-NEIGHBOURS] if len(reached) >= NEIGHBOURS else 0.0
-                some = some & ~seen & (bound >= least * (1 - SLACK) - 1e-9)
+                some = some & ~seen & (bound >= self.least(cosine.reshape(-1, BLOCK_SIZE)[seen]) * (1 - SLACK) - 1e-9)
+                if np.count_nonzero(some) > ALIKE[0] * len(bound):
+                    cosine[:] = before
+                    return self.through(cosine, row, values, without)
             # neighbouring blocks are opened together
             inside = np.zeros(len(some) + 2, bool)
             inside[1:-1] = some
@@ -189,18 +194,42 @@ class Model:
                 start, size = ranges[:, ::2].ravel(), (ranges[:, 1::2] - ranges[:, ::2]).ravel()
                 filled = np.flatnonzero(size)
                 size = size[filled]
-                found = self.held(gather(start[filled], size))
-                cosine += np.bincount(found["example"], found["value"] * np.repeat(values[filled // (len(edges) // 2)], size), n)
+                at = gather(start[filled], size)
+                cosine += np.bincount(self.examples[at], self.values[at] * np.repeat(values[filled // (len(edges) // 2)], size), n)
             if without >= 0:
                 cosine[without] = 0
             seen |= some
         self.opened += int(seen.sum())
         self.passed += int((~seen).sum())
-        found = np.flatnonzero(np.repeat(seen, BLOCK_SIZE) & (cosine > 1e-12))
-        if len(found) > NEIGHBOURS:
-            near = cosine[found]
-            found = found[near >= np.partition(near, -NEIGHBOURS)[-NEIGHBOURS] * (1 - SLACK)]
-        return found
+        return self.reached(cosine, seen)
+
+    def through(self, cosine: np.ndarray, row: np.ndarray, values: np.ndarray, without: int) -> np.ndarray:
+        """The same with all blocks opened: each term's postings are one piece."""
+        self.opened += len(cosine) // BLOCK_SIZE
+        examples, weights, size = self.pieces
+        rows = row.tolist()
+        held = np.frombuffer(b"".join(map(examples.__getitem__, rows)), self.examples.dtype)
+        weight = np.repeat(values, size[row])
+        weight *= np.frombuffer(b"".join(map(weights.__getitem__, rows)))
+        cosine += np.bincount(held, weight, len(cosine))
+        if without >= 0:
+            cosine[without] = 0
+        return self.reached(cosine)
+
+    def reached(self, cosine: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+        """Of the blocks seen (None: of all) the nearest examples, and those that may be as near."""
+        blocks = cosine.reshape(-1, BLOCK_SIZE)
+        found = np.flatnonzero(cosine > max(1e-12, self.least(blocks if seen is None else blocks[seen]) * (1 - SLACK)))
+        return found if seen is None else found[seen[found // BLOCK_SIZE]]
+
+    @staticmethod
+    def least(blocks: np.ndarray) -> float:
+        """The lowest cosine of the nearest examples in these blocks."""
+        if len(blocks) > NEIGHBOURS:
+            # as many blocks have an example each that reaches this
+            blocks = blocks[blocks >= np.partition(blocks.max(1), -NEIGHBOURS)[-NEIGHBOURS]]
+        blocks = blocks.ravel()
+        return float(np.partition(blocks, -NEIGHBOURS)[-NEIGHBOURS]) if len(blocks) >= NEIGHBOURS else 0.0
 
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
         """Share of toxic votes, weighted by closeness and by the rows that an example stands for."""
@@ -410,12 +439,13 @@ def indexed(example: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, n_
     common = np.flatnonzero(count * DENSE > n)
     dense_row = np.full(n_terms, -1, np.int32)
     dense_row[common] = np.arange(len(common))
-    dense = np.zeros((len(common), -(-n // BLOCK_SIZE) * BLOCK_SIZE), np.float32)
+    # an example's values side by side
+    dense, cut_off = (np.zeros((-(-n // BLOCK_SIZE) * BLOCK_SIZE, len(common)), np.float32).T for _ in range(2))
     row = dense_row[term]
     held = row >= 0
-    own_rows, own_values = row[held], value[held]
-    own_starts = np.searchsorted(example[held], np.arange(n + 1))
-    dense[own_rows, example[held]] = own_values
+    at = row[held], example[held]
+    dense[at] = value[held]
+    cut_off[at] = value[held] - dense[at]
     term, example, value = term[~held], example[~held], value[~held]
     order = np.lexsort((example, term))
     term, example, value = term[order], example[order], value[order]
@@ -430,11 +460,8 @@ def indexed(example: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, n_
     # term by term and block by block, so the places of all blocks follow each other
     of = np.bincount(row[row >= 0] * n_blocks + block[row >= 0], minlength=len(bounded) * n_blocks).reshape(-1, max(1, n_blocks))
     places = np.concatenate((np.zeros((len(bounded), 1), np.int64), np.cumsum(of, 1)), 1) + starts[bounded][:, None]
-    postings = np.empty(len(term), POSTING)
-    postings["example"], postings["value"] = example, value
     return {
-        "starts": starts, "postings": postings, "bound_row": bound_row, "highest": highest, "places": places.astype(np.int32), "dense_row": dense_row, "dense": dense,
-        "own_starts": own_starts, "own_rows": own_rows, "own_values": own_values,
+        "starts": starts, "examples": example.astype(np.min_scalar_type(max(n, 1 << 8))), "values": value, "bound_row": bound_row, "highest": highest, "places": places.astype(np.int32), "dense_row": dense_row, "dense": dense, "cut_off": cut_off,
     }
 
 
@@ -464,6 +491,7 @@ def build(terms: pa.Array | list[str], idf: np.ndarray, rows: list[tuple[int, in
         some = [x[2:] for x in filled[at : at + TOGETHER]]
         votes += [model.vote(*found) for found in model.nearest_of(some, list(range(at, at + len(some))))]
     model.opened = model.passed = 0
+    vars(model).pop("pieces", None)  # each worker makes its own
     x = np.asarray([*votes, model.base])
     y = np.asarray([*model.labels, model.base])
     w = np.asarray([*model.weights, float(base[1])])

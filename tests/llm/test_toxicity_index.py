@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 from graphlens.llm import toxicity
-from graphlens.llm.shared import words_of
+from graphlens.llm.shared import gather, words_of
 
 
 def test_words_by_table_are_those_of_the_expression():
@@ -42,3 +42,27 @@ def test_a_worker_makes_its_tables_once():
     size = len(pickle.dumps(vectors))
     model = toxicity.Model(vectors.names, np.ones(1000))
     assert size < 30_000 and model.vectors is model.vectors and model.vectors.known is model.vectors.known
+
+
+def test_postings_are_one_piece_if_all_blocks_are_as_near(monkeypatch):
+    """Texts as near to one block as to another: no posting is picked out, and the nearest examples are those of a full scan."""
+    rng, n = np.random.default_rng(5), 1280
+    rows = []
+    for i in range(n):
+        terms = np.unique(rng.integers(0, 600, 30))
+        rows.append((i, i % 2, terms, rng.integers(1, 4, len(terms))))
+    model = toxicity.build([f"w:{i}" for i in range(600)], rng.uniform(1, 5, 600), rows, {0: 1.0, 1: 1.0})
+    vectors = toxicity.Vectors(model.terms, model.idf)
+    full = np.zeros((n, 600))
+    for k, i in enumerate(model.ids.tolist()):
+        full[k, rows[i][2]] = vectors.unit(rows[i][2], rows[i][3])
+    some = [np.unique(rng.integers(0, 600, 40)) for _ in range(60)]
+    asked = [(x, vectors.unit(x, np.ones(len(x)))) for x in some]
+    picked = []
+    monkeypatch.setattr(toxicity, "gather", lambda starts, lengths: picked.append(int(lengths.sum())) or gather(starts, lengths))
+    found = model.nearest_of([*asked, (np.zeros(0, np.int64), np.zeros(0))])
+    for (terms, values), (best, cosine) in zip(asked, found, strict=False):
+        every = full[:, terms] @ values
+        expected = np.lexsort((model.rank, -np.round(every, 12)))[: toxicity.NEIGHBOURS]
+        assert best.tolist() == expected.tolist() and np.abs(cosine - every[expected]).max() < 1e-14
+    assert len(found[-1][0]) == 0 and sum(picked) == 0 and model.passed <= len(model.highest[0])
